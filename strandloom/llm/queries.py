@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bytebpe, exactdedup, fingerprints, mixing, sharding, simhash, tokencount
+from strandloom.llm import bytebpe, exactdedup, fingerprints, langid, mixing, sharding, simhash, tokencount
 from strandloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_fingerprints")
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = langid.trained(docs.filter(~langid.held_out()))
+    found = langid.identify(docs, network)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
