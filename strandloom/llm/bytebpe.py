@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import ship
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words that a worker remembers; bytes of words and number of words that go to DuckDB at once; steps of one recursive query.
 KNOWN, BATCH, DECODED, STEPS = 500_000, 1_000_000, 200_000, 48
@@ -238,6 +240,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     any length are read whole; repeated rows give repeated results; an empty table gives an empty result. Other columns
     of docs are not read.
     """
+    ship(docs.sparkSession)
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches):

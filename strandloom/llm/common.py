@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import ship
+
 #: The white space that ends a word, as characters.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

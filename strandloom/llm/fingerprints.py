@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from strandloom.llm import common
+from strandloom.session import ship
 
 BINS, BIN_BITS, WORDS = 256, 4, 5
 #: Bytes whose words are hashed at once.
@@ -231,5 +232,6 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fingerprints. A table of one row is next to itself; an empty table gives an empty result. Other columns of docs
     are not read.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return in_order(docs).select("doc_id", "text", "tail").mapInArrow(compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import ship
+
 #: Bytes of a segment; units of each direction; segments that run side by side.
 SEGMENT, UNITS, ABREAST = 64, 12, 2048
 #: Labelled documents for each language, characters taken from each (from a place that its hash decides), steps, segments in a step, seed.
@@ -181,6 +183,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     lang_pred is the language with the largest mean probability over the whole text, and score that mean; ties go to
     the first language. Repeated rows give repeated results; an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     keep = keep or []
 
     def run(batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bytebpe, exactdedup, fingerprints, langid, mixing, sharding, simhash, tokencount
+from strandloom.llm import bytebpe, chat, exactdedup, fingerprints, htmltext, langid, mixing, sharding, simhash, tokencount
 from strandloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,31 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = langid.trained(docs.filter(~langid.held_out()))
     found = langid.identify(docs, network)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"), keep=["url"])
+
+
+@query(
+    "op5_chat_format",
+    """WITH calls AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+            results AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM conversations WHERE role = 'assistant')
+       SELECT c.conv_id, c.turn, CASE WHEN c.role = 'assistant' THEN 'tool' ELSE c.role END AS role,
+              CASE WHEN c.role = 'assistant' THEN c.conv_id || ':' || (c.turn - 1) ELSE c.conv_id || ':' || c.turn END AS call_id,
+              CASE WHEN c.role = 'assistant' AND k.turn IS NOT NULL THEN 1 ELSE 0 END AS depth,
+              coalesce(k.turn, c.turn) AS follows,
+              CASE WHEN c.role = 'assistant' THEN k.turn IS NOT NULL ELSE r.turn IS NOT NULL END AS linked,
+              CASE WHEN c.role = 'assistant' AND k.turn IS NULL THEN NULL ELSE true END AS valid,
+              CASE WHEN c.role = 'assistant'
+                   THEN '{"content":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"role":"tool","tool_call_id":"' || c.conv_id || ':' || (c.turn - 1) || '"}'
+                   ELSE '{"content":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(c.role)::VARCHAR, 'null')
+                        || ',"tool_calls":[{"arguments":{"n_chars":' || length(coalesce(c.text, '')) || ',"turn":' || c.turn || '},"id":"' || c.conv_id || ':' || c.turn || '","name":"reply"}]}' END AS line
+       FROM conversations c
+       LEFT JOIN calls k ON c.role = 'assistant' AND k.conv_id = c.conv_id AND k.turn = c.turn - 1
+       LEFT JOIN results r ON c.role IS DISTINCT FROM 'assistant' AND r.conv_id = c.conv_id AND r.turn = c.turn""",
+)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.format_chats(chat.as_calls(table(spark, sf_dir, "conversations")), chat.SCHEMAS)
+    return found.withColumn("call_id", F.element_at("call_ids", 1)).drop("call_ids")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from strandloom.session import ship
+
 MODEL = "word_bpe_49k.json"
 #: Texts of more characters are encoded in chunks of that many, overlapping by at least OVERLAP; tokens that must agree.
 HUGE, OVERLAP, AGREE = 1 << 16, 512, 8
@@ -100,6 +102,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     Null counts as empty: 0 bytes and tokens. Texts of any length are counted whole; repeated rows give repeated
     results; an empty table gives an empty result. Other columns of docs are not read.
     """
+    ship(docs.sparkSession)
     path = path or public_tokenizers.path(MODEL)
 
     def run(batches):
