@@ -30,12 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: lineage ends there, and losing an executor loses nothing."""
+def stored(df: DataFrame, label: str, compression: str = "none") -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: lineage ends there, and losing an executor loses nothing.
+
+    Without compression by default: most are narrow tables of hashes, often in many small files, and a codec's buffers for each of
+    them stay outside the heap until the executor happens to collect its garbage.
+    """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +63,13 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, rows: int,
     limit = max(1000, rows // parts)
     hot = F.broadcast(right.filter(F.col(n) > limit))
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right.filter(F.col(n) <= limit), key))
+
+
+def chosen(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str, same: F.Column | None = None) -> DataFrame:
+    """The rows of docs whose identifier and text hash are in stay (doc_id, same, n: rows of docs with both); of rows that repeat both, one."""
+    same = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if same is None else same
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), "n")
+    joined = docs.withColumn("__hash", same).join(stay.drop("n"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same")), "left_semi")
+    if not stay.filter("n > 1").isEmpty():
+        joined = joined.dropDuplicates([id_col, "__hash"])
+    return joined.drop("__hash")

@@ -83,3 +83,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return common.join_counted(rows, runs, "digest", "n", count).select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """docs with one row of each group of equal texts; other columns are unchanged."""
+    found = exact_duplicates(docs, id_col, text_col, keep)
+    group = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long").alias("same"))
+    return common.chosen(docs, common.stored(group.agg(F.count(F.lit(1)).alias("n")), "stay"), id_col, text_col, F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 15), 16, 10).cast("long"))

@@ -176,27 +176,32 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: the identifier, the columns in keep, lang_pred and score.
+def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, least: float | None = None) -> DataFrame:
+    """One row per row of docs: the identifier, the columns in keep, lang_pred and score; with `least`, only rows that are not `und` and have that score.
 
     A text that is null or has no letter is `und` with score 0, as is every text if there is no network. Otherwise
     lang_pred is the language with the largest mean probability over the whole text, and score that mean; ties go to
-    the first language. Repeated rows give repeated results; an empty table gives an empty result.
+    the first language. Repeated rows give repeated results; an empty table gives an empty result. Names of columns in
+    keep may be any but lang_pred and score.
     """
     ship(docs.sparkSession)
-    keep = keep or []
+    kept = list(dict.fromkeys([id_col, *(keep or [])]))
+    given = docs.select(*kept, *([] if text_col in kept else [text_col]))
+    column = given.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text__").to_pylist()]
-            known = [network is not None and any(c.isalpha() for c in t) for t in texts]
+            texts = [t or "" for t in batch.column(column).to_pylist()]
+            known = [k for k, t in enumerate(texts) if network is not None and any(c.isalpha() for c in t)]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            for some in grouped([k for k, letters in enumerate(known) if letters], texts):
+            for some in grouped(known, texts):
                 found = network.documents([texts[i].encode() for i in some])
                 for i, best, p in zip(some, found.argmax(1).tolist(), found.max(1).tolist(), strict=True):
                     lang[i], score[i] = network.languages[best], min(1.0, p)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+            if least is not None:
+                out = out.filter(pa.array([x != "und" and p >= least for x, p in zip(lang, score.tolist(), strict=True)], pa.bool_()))
+            yield out
 
-    given = docs.select(id_col, *keep, F.col(text_col).alias("text__"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes[:-1])
+    schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes[: len(kept)])
     return given.mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -46,23 +46,20 @@ def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(df) if len(rows) <= BROADCAST_SOURCES else df
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, same (a hash of the text), source, size, source_size, target, taken.
+def hashed(id_col: str) -> F.Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(id_col)), 64 - BITS)
 
-    Size is the number of words; null and empty texts have size 0 and are taken 0 times. A null source is a source of
-    its own. Rows that repeat an identifier have one hash and are taken alike. The source that ends a budget inside
-    rows of one hash takes all of them or none, whichever is nearer. One row per source comes to the driver. An
-    empty table gives an empty result. Other columns of docs are not read.
-    """
+
+def thresholds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The plan, a row per source (s, source_size, target, whole, below), and the table of sizes that it was made from (doc_id, source, size, hash)."""
     spark = docs.sparkSession
     digit = lambda level: F.shiftright("hash", BITS - DIGIT * (level + 1)).bitwiseAND(F.lit((1 << DIGIT) - 1))
     rows = common.stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
-            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("same"),
             F.col(source_col).alias("source"),
             common.n_words(F.col(text_col)).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(id_col)), 64 - BITS).alias("hash"),
+            hashed(id_col).alias("hash"),
         ),
         "sizes",
     )
@@ -91,5 +88,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         open_ = [s for s in open_ if need[s] > 0 and s in met]
         level += 1
     plan = _frame(spark, [(s, size[s], target[s], whole[s], below[s]) for s in size], "s string, source_size long, target double, whole int, below long")
-    taken = F.col("size") * (F.col("whole") + (F.col("hash") < F.col("below")).cast("int"))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "same", "source", "size", "source_size", "target", taken.alias("taken"))
+    return plan, rows
+
+
+def copies(hash_: F.Column) -> F.Column:
+    """How often the plan takes a document."""
+    return F.col("whole") + (hash_ < F.col("below")).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken.
+
+    Size is the number of words; null and empty texts have size 0, of which nothing is taken. A null source is a source of
+    its own. Rows that repeat an identifier have one hash and are taken alike. The source that ends a budget inside
+    rows of one hash takes all of them or none, whichever is nearer. One row per source comes to the driver. An
+    empty table gives an empty result. Other columns of docs are not read.
+    """
+    plan, rows = thresholds(docs, id_col, text_col, source_col)
+    found = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies(F.col("hash"))).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with every row as often as the mix takes it, its columns unchanged; no row is shuffled."""
+    plan, _ = thresholds(docs, id_col, text_col, source_col)
+    plan = plan.select([F.col(c).alias(f"__{c}") for c in plan.columns])
+    times = F.col("__whole") + (hashed(id_col) < F.col("__below")).cast("int")
+    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).drop("__copy")

@@ -108,3 +108,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = prints.join(roots.join(least, "root").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("least"))
     found = common.stored(found, "components")
     return common.join_counted(rows, found, "fp", "n", rows.count()).select("doc_id", "fp", "same", F.col("least.doc_id").alias("component_id"), F.col("least.same").alias("keep_same"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: the one of smallest identifier. Rows that repeat its identifier and text are left out too; other columns are unchanged."""
+    found = near_duplicates(docs, id_col, text_col)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("same") == F.col("keep_same"))).groupBy("doc_id", "same").agg(F.count(F.lit(1)).alias("n"))
+    return common.chosen(docs, common.stored(stay, "stay"), id_col, text_col)
