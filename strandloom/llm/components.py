@@ -17,6 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     graph is contracted to where its nodes moved; a fixed part of the nodes goes in each round on average, whatever the
     shape. No edges give an empty result; repeated edges and loops do no harm.
     """
+    edges = common.stored(edges.select("a", "b"), "links")
     loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
     edges = common.stored(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct(), "edges")
     moves = []
