@@ -1,10 +1,537 @@
-"""Every query over the driver's tables, with the SQL that checks it."""
+"""Every query over the driver's tables, with the SQL that checks it.
+
+The tables are no sequencing data, so adapters that Spark and SQL express alike turn them into it: letters of documents
+become bases of reads and benchmark texts become unitigs; consecutive events of a user become arcs between nodes of two
+events; order lines become coverage of parts. All rows and whole texts are used.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandloom.functions import maths as M
+from strandloom.functions import sequence as S
+from strandloom.operators import coverage as C
+from strandloom.operators import graph as G
+from strandloom.operators import kmers as K
+from strandloom.operators import thresholds as T
+from strandloom.operators.model import CovModel, c_best, c_log_odds, spectrum_table
+from strandloom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: k of the spectra and of lookups; the model and threshold that queries on tables use.
+SMALL_K, INDEX_K = 11, 21
+MODEL = CovModel(1.0, 1.5, 12.0, 1.5, (100, 50, 5, 1, 1, 1))
+EPSILON = 0.05
+
+LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Adapters, in Spark and in SQL.
+
+
+def bases(text) -> F.Column:
+    return F.translate(F.lower(F.regexp_replace(text, "[^a-zA-Z]", "")), LETTERS, BASES)
+
+
+def broken_bases(text) -> F.Column:
+    """Bases with N where a text has no letter."""
+    return F.translate(F.lower(F.regexp_replace(text, "[^a-zA-Z]", "#")), LETTERS + "#", BASES + "N")
+
+
+def sql_bases(text: str) -> str:
+    return f"translate(lower(regexp_replace({text}, '[^a-zA-Z]', '', 'g')), '{LETTERS}', '{BASES}')"
+
+
+def sql_broken(text: str) -> str:
+    return f"translate(lower(regexp_replace({text}, '[^a-zA-Z]', '#', 'g')), '{LETTERS}#', '{BASES}N')"
+
+
+def reads(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), bases(F.col("text")).alias("seq"))
+
+
+def unitig_nodes(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select((F.col("item_id") + 1).cast("int").alias("node_id"), bases(F.col("text")).alias("seq"))
+
+
+def unitig_arcs(spark, d) -> DataFrame:
+    """Each benchmark text is followed by the next."""
+    nodes = unitig_nodes(spark, d).select("node_id")
+    return nodes.select(F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst")).join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi").select(S.edge(F.col("src"), F.col("dst")).alias("e"), F.lit(0.0).alias("cov")).select("e.*", "cov")
+
+
+READS = f"reads AS (SELECT doc_id AS read_id, {sql_bases('text')} AS seq FROM documents)"
+UNITIGS = f"unitigs AS (SELECT (item_id + 1)::INT AS node_id, {sql_bases('text')} AS seq FROM benchmark)"
+RC = "translate(reverse({0}), 'ACGT', 'TGCA')"
+
+
+def sql_canonical(x: str) -> str:
+    return f"least({x}, {RC.format(x)})"
+
+
+def sql_windows(name: str, source: str, id_: str, k: int) -> str:
+    """Windows of k bases without N; sequences are cut first, as in Spark, since substr walks from the start."""
+    return f"""{name}_pieces AS (SELECT {id_}, s, substr(seq, s + 1, {255 + k}) AS part FROM (SELECT {id_}, seq, unnest(range(0, greatest(length(seq) - {k} + 1, 0), 256)) AS s FROM {source})),
+  {name} AS (SELECT {id_}, s + o AS place, substr(part, o + 1, {k}) AS kmer FROM (SELECT {id_}, s, part, unnest(range(0, length(part) - {k} + 1)) AS o FROM {name}_pieces) WHERE NOT contains(substr(part, o + 1, {k}), 'N'))"""
+
+
+def event_nodes(spark, d) -> DataFrame:
+    """Nodes of two events: cov counts hundredths of their values, mlen the events' distance in minutes."""
+    e = table(spark, d, "events")
+    return e.groupBy((F.expr("event_id div 2") + 1).cast("int").alias("node_id")).agg(F.round(F.sum("value")).alias("cov"), (F.sum(F.expr("event_id % 7")) + 1).cast("int").alias("mlen"))
+
+
+def event_arcs(spark, d) -> DataFrame:
+    """Arcs between the nodes of consecutive events of a user; a node of an event divisible by 3 is reversed."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", (F.when(F.col("event_id") % 3 == 0, -1).otherwise(1) * (F.expr("event_id div 2") + 1)).cast("int").alias("node"))
+    pairs = e.withColumn("next", F.lead("node").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("next IS NOT NULL")
+    return G.canonical_arcs(pairs.select(F.col("node").alias("src"), F.col("next").alias("dst"), F.lit(1.0).alias("cov")))
+
+
+EVENT_NODES = "nodes AS (SELECT (event_id // 2 + 1)::INT AS node_id, round(sum(value)) AS cov, (sum(event_id % 7) + 1)::INT AS mlen FROM events GROUP BY 1)"
+EVENT_ARCS = """steps AS (SELECT node AS src, lead(node) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst
+           FROM (SELECT *, (CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * (event_id // 2 + 1))::INT AS node FROM events)),
+  arcs AS (SELECT CASE WHEN src < -dst THEN src ELSE -dst END AS src, CASE WHEN src < -dst THEN dst ELSE -src END AS dst, count(*)::DOUBLE AS cov FROM steps WHERE dst IS NOT NULL GROUP BY 1, 2),
+  strands AS (SELECT src, dst, cov FROM arcs UNION ALL SELECT -dst, -src, cov FROM arcs WHERE src <> -dst)"""
+SIDES = """sides AS (SELECT node_id, coalesce(n_left, 0)::BIGINT AS n_left, coalesce(n_right, 0)::BIGINT AS n_right FROM nodes
+    LEFT JOIN (SELECT abs(src) AS node_id, count(*) FILTER (src < 0) AS n_left, count(*) FILTER (src > 0) AS n_right FROM strands GROUP BY 1) USING (node_id))"""
+
+
+def parts(spark, d) -> DataFrame:
+    """Parts as nodes: coverage is what was ordered of them."""
+    sold = table(spark, d, "lineitem").groupBy((F.col("l_partkey") + 1).cast("int").alias("node_id")).agg(F.sum("l_quantity").alias("cov"))
+    p = table(spark, d, "part").select((F.col("p_partkey") + 1).cast("int").alias("node_id"), F.col("p_size").cast("int").alias("mlen"))
+    return p.join(sold, "node_id").withColumn("avg", F.col("cov") / F.col("mlen"))
+
+
+PARTS = "parts AS (SELECT node_id, mlen, cov, cov / mlen AS avg FROM (SELECT (p_partkey + 1)::INT AS node_id, p_size::INT AS mlen FROM part) JOIN (SELECT (l_partkey + 1)::INT AS node_id, sum(l_quantity) AS cov FROM lineitem GROUP BY 1) USING (node_id))"
+
+# Sequences and k-mers.
+
+
+@query("revcomp", f"WITH {READS} SELECT read_id, length(seq) AS n, md5({RC.format('seq')}) AS rc_md5, {RC.format(RC.format('seq'))} = seq AS involution FROM reads")
+def revcomp(spark, d):
+    rc = S.revcomp(F.col("seq"))
+    return reads(spark, d).select("read_id", F.length("seq").cast("long").alias("n"), F.md5(rc).alias("rc_md5"), (S.revcomp(rc) == F.col("seq")).alias("involution"))
+
+
+@query("canonical_kmers", f"WITH {READS}, {sql_windows('w', 'reads', 'read_id', 8)} SELECT {sql_canonical('kmer')} AS kmer, count(*) AS n FROM w GROUP BY 1")
+def canonical_kmers(spark, d):
+    return K.canonical_counts(reads(spark, d), 8)
+
+
+@query("kmer_spectrum", f"WITH {READS}, {sql_windows('w', 'reads', 'read_id', SMALL_K)} SELECT n, count(*) AS kmers FROM (SELECT count(*) AS n FROM w GROUP BY {sql_canonical('kmer')}) GROUP BY 1")
+def kmer_spectrum(spark, d):
+    return K.spectrum(K.canonical_counts(reads(spark, d), SMALL_K))
+
+
+@query("abundant_kmers", f"WITH {READS}, {sql_windows('w', 'reads', 'read_id', SMALL_K)} SELECT {sql_canonical('kmer')} AS kmer, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 50")
+def abundant_kmers(spark, d):
+    return K.abundant(K.canonical_counts(reads(spark, d), SMALL_K), 50)
+
+
+@query("kmers_between_breaks", f"WITH reads AS (SELECT doc_id AS read_id, {sql_broken('text')} AS seq FROM documents), {sql_windows('w', 'reads', 'read_id', SMALL_K)} SELECT {sql_canonical('kmer')} AS kmer, count(*) AS n FROM w GROUP BY 1")
+def kmers_between_breaks(spark, d):
+    return K.canonical_counts(table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), broken_bases(F.col("text")).alias("seq")), SMALL_K)
+
+
+@query("kmer_arcs", f"WITH {READS}, {sql_windows('w', 'reads', 'read_id', 8)} SELECT substr(kmer, 1, 7) AS src, substr(kmer, 2, 7) AS dst, n AS cov FROM (SELECT {sql_canonical('kmer')} AS kmer, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 3)")
+def kmer_arcs(spark, d):
+    return K.arcs_of_kmers(reads(spark, d), 7, 3)
+
+
+@query(
+    "paired_read_kmers",
+    f"""WITH turns AS (SELECT conv_id, turn, role, {sql_bases('text')} AS seq FROM conversations),
+        pairs AS (SELECT a.conv_id, a.turn, a.seq AS s1, b.seq AS s2 FROM turns a JOIN turns b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+        reads AS (SELECT conv_id * 1000 + turn AS read_id, s1 AS seq FROM pairs UNION ALL SELECT conv_id * 1000 + turn, s2 FROM pairs), {sql_windows('w', 'reads', 'read_id', 7)}
+        SELECT {sql_canonical('kmer')} AS kmer, count(*) AS n FROM w GROUP BY 1""",
+)
+def paired_read_kmers(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", bases(F.col("text")).alias("seq"))
+    a, b = t.filter("role = 'user'").select("conv_id", "turn", F.col("seq").alias("s1")), t.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("seq").alias("s2"))
+    pairs = a.join(b, ["conv_id", "turn"])
+    return K.canonical_counts(pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), F.explode(F.array("s1", "s2")).alias("seq")), 7)
+
+
+@query("packed_kmers", f"WITH {READS}, {sql_windows('w', 'reads', 'read_id', 7)} SELECT kmer, list_reduce(list_transform(string_split(translate(kmer, 'ACGT', '0123'), ''), lambda c: c::BIGINT), lambda a, c: a * 4 + c) AS packed, kmer AS unpacked FROM (SELECT DISTINCT kmer FROM w)")
+def packed_kmers(spark, d):
+    found = K.kmers(reads(spark, d), 7).distinct().withColumn("packed", S.pack(F.col("kmer")))
+    return found.withColumn("unpacked", S.unpack(F.col("packed"), 7))
+
+
+@query("wrapped_sequences", f"WITH {UNITIGS} SELECT node_id, regexp_replace(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') AS fasta FROM unitigs")
+def wrapped_sequences(spark, d):
+    return unitig_nodes(spark, d).select("node_id", S.wrap(F.col("seq")).alias("fasta"))
+
+
+@query("node_chains", "SELECT user_id, list(event_id % 5 + 1 ORDER BY ts, event_id) AS c, list_transform(list_reverse(list(event_id % 5 + 1 ORDER BY ts, event_id)), lambda i: -i) AS rc FROM events GROUP BY user_id".replace("SELECT user_id, list(", "SELECT user_id, array_to_string(list(").replace("event_id) AS c", "event_id), ',') AS c").replace("list_transform(", "array_to_string(list_transform(").replace("-i) AS rc", "-i), ',') AS rc"))
+def node_chains(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"] % 5 + 1).alias("c"))
+    return e.select("user_id", F.array_join(F.col("c").cast("array<string>"), ",").alias("c"), F.array_join(S.chain_revcomp(F.col("c")).cast("array<string>"), ",").alias("rc"))
+
+
+# Graph topology and selections.
+
+
+@query("canonical_arcs", f"WITH {EVENT_ARCS} SELECT src, dst, cov FROM arcs")
+def canonical_arcs(spark, d):
+    return event_arcs(spark, d)
+
+
+@query("degrees", f"WITH {EVENT_NODES}, {EVENT_ARCS}, {SIDES} SELECT * FROM sides")
+def degrees(spark, d):
+    return G.sides(event_nodes(spark, d), event_arcs(spark, d))
+
+
+@query("unary_arcs", f"WITH {EVENT_ARCS}, o AS (SELECT src AS node, count(*) AS n FROM strands GROUP BY 1) SELECT s.src, s.dst FROM strands s JOIN o a ON a.node = s.src AND a.n = 1 JOIN o b ON b.node = -s.dst AND b.n = 1 WHERE abs(s.src) <> abs(s.dst)")
+def unary_arcs(spark, d):
+    arcs = event_arcs(spark, d)
+    single = G.degrees(arcs).filter("outdeg = 1").select("node")
+    s = G.both_strands(arcs)
+    return s.join(single.select(F.col("node").alias("src")), "src").join(single.select((-F.col("node")).alias("dst")), "dst").filter("abs(src) <> abs(dst)").select("src", "dst")
+
+
+@query("tips", f"WITH {EVENT_NODES}, {EVENT_ARCS}, {SIDES} SELECT node_id, cov, mlen, n_left, n_right FROM nodes JOIN sides USING (node_id) WHERE (n_left = 0 OR n_right = 0) AND mlen <= 6 AND cov / mlen <= 40")
+def tips(spark, d):
+    return G.tips(event_nodes(spark, d), event_arcs(spark, d), 40.0, 6).select("node_id", "cov", "mlen", "n_left", "n_right")
+
+
+@query("bubbles", f"WITH {EVENT_NODES}, {EVENT_ARCS}, {SIDES} SELECT node_id, cov, mlen FROM nodes JOIN sides USING (node_id) WHERE n_left = 1 AND n_right = 1 AND mlen = 5 AND cov / mlen <= 40")
+def bubbles(spark, d):
+    return G.bubbles(event_nodes(spark, d), event_arcs(spark, d), 40.0, 5).select("node_id", "cov", "mlen")
+
+
+@query("low_coverage_nodes", f"WITH {PARTS} SELECT node_id, cov, mlen FROM parts WHERE avg <= 20")
+def low_coverage_nodes(spark, d):
+    return G.low_coverage_nodes(parts(spark, d), 20.0).select("node_id", "cov", "mlen")
+
+
+@query("low_coverage_arcs", f"WITH {EVENT_ARCS} SELECT src, dst, cov FROM arcs WHERE cov <= 1")
+def low_coverage_arcs(spark, d):
+    return G.low_coverage_arcs(event_arcs(spark, d), 1.0)
+
+
+@query("remove_nodes", f"WITH {EVENT_NODES}, {EVENT_ARCS}, kept AS (SELECT node_id FROM nodes WHERE cov / mlen > 25) SELECT src, dst, cov FROM arcs WHERE abs(src) IN (SELECT node_id FROM kept) AND abs(dst) IN (SELECT node_id FROM kept)")
+def remove_nodes(spark, d):
+    nodes = event_nodes(spark, d)
+    return G.remove_nodes(nodes, event_arcs(spark, d), G.low_coverage_nodes(nodes, 25.0).select("node_id"))[1]
+
+
+@query("remove_arcs", f"WITH {EVENT_ARCS} SELECT a.src, a.dst, a.cov FROM arcs a WHERE NOT EXISTS (SELECT 1 FROM arcs g WHERE (g.src + g.dst) % 4 = 0 AND g.src = a.src AND g.dst = a.dst)")
+def remove_arcs(spark, d):
+    arcs = event_arcs(spark, d)
+    gone = arcs.filter("(src + dst) % 4 = 0").select((-F.col("dst")).alias("src"), (-F.col("src")).alias("dst"))
+    return G.remove_arcs(arcs, gone)
+
+
+@query("sampled_nodes", f"WITH {EVENT_NODES} SELECT node_id, cov FROM nodes ORDER BY md5('7|' || node_id) LIMIT 100")
+def sampled_nodes(spark, d):
+    return G.sample(event_nodes(spark, d), 100, "node_id", seed=7).select("node_id", "cov")
+
+
+@query(
+    "neighbourhood",
+    f"""WITH RECURSIVE {EVENT_NODES}, {EVENT_ARCS}, pairs AS (SELECT DISTINCT abs(src) AS a, abs(dst) AS b FROM strands),
+        walk(seed, node_id, dist) AS (SELECT node_id, node_id, 0 FROM nodes WHERE node_id % 100 = 0 UNION SELECT w.seed, p.b, w.dist + 1 FROM walk w JOIN pairs p ON p.a = w.node_id WHERE w.dist < 3)
+        SELECT seed, node_id, min(dist) AS dist FROM walk GROUP BY 1, 2""",
+)
+def neighbourhood(spark, d):
+    seeds = event_nodes(spark, d).filter("node_id % 100 = 0").select(F.col("node_id").alias("seed"))
+    return G.neighbourhood(event_arcs(spark, d), seeds, 3)
+
+
+@query(
+    "components",
+    f"""WITH RECURSIVE {UNITIGS}, pairs AS (SELECT user_id AS a, event_id % 1000 + 100000 AS b FROM events WHERE event_id % 10 = 0),
+        e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), nodes AS (SELECT DISTINCT a AS node FROM e),
+        walk(node, seen) AS (SELECT node, node FROM nodes UNION SELECT w.node, e.b FROM walk w JOIN e ON e.a = w.seen)
+        SELECT node, min(seen) AS component FROM walk GROUP BY 1""",
+)
+def components(spark, d):
+    return G.components(table(spark, d, "events").filter("event_id % 10 = 0").select(F.col("user_id").alias("a"), (F.col("event_id") % 1000 + 100000).alias("b")))
+
+
+# Coverage.
+
+
+HITS = f"""index AS (SELECT kmer, min((node_id, place, same)) AS p FROM (SELECT {sql_canonical('kmer')} AS kmer, node_id, place, {sql_canonical('kmer')} = kmer AS same FROM u) GROUP BY 1),
+  found AS (SELECT w.read_id, w.place, w.kmer, {sql_canonical('w.kmer')} AS canon FROM w),
+  hits AS (SELECT f.read_id, f.place AS off, CASE WHEN (f.canon = f.kmer) = i.p[3] THEN i.p[1] ELSE -i.p[1] END AS node,
+                  CASE WHEN (f.canon = f.kmer) = i.p[3] THEN i.p[2] ELSE length(n.seq) - {INDEX_K} - i.p[2] END AS pos, length(n.seq) - {INDEX_K} + 1 AS mlen
+           FROM found f JOIN index i ON i.kmer = f.canon JOIN unitigs n ON n.node_id = i.p[1])""".replace("(node_id, place, same)", "row(node_id, place, same)")
+INDEXED = f"{READS}, {UNITIGS}, {sql_windows('w', 'reads', 'read_id', INDEX_K)}, {sql_windows('u', 'unitigs', 'node_id', INDEX_K)}, {HITS}"
+STEPS = f"""uarcs AS (SELECT -(b.node_id) AS src, -(a.node_id) AS dst FROM unitigs a JOIN unitigs b ON b.node_id = a.node_id + 1),
+  ustrands AS (SELECT src, dst FROM uarcs UNION ALL SELECT -dst, -src FROM uarcs),
+  lagged AS (SELECT *, lag(off) OVER o AS pat, lag(node) OVER o AS pnode, lag(pos) OVER o AS ppos, lag(mlen) OVER o AS pmlen FROM hits WINDOW o AS (PARTITION BY read_id ORDER BY off)),
+  kinds AS (SELECT l.*, CASE WHEN off - pat = 1 AND node = pnode AND pos - ppos = 1 THEN 'inside' WHEN off - pat = 1 AND a.src IS NOT NULL AND pos = 0 AND ppos = pmlen - 1 THEN 'arc' WHEN off - pat = 1 THEN 'break' ELSE 'gap' END AS kind
+            FROM lagged l LEFT JOIN ustrands a ON a.src = l.pnode AND a.dst = l.node)"""
+
+
+@query("kmer_lookup", f"WITH {INDEXED} SELECT node, pos, count(*) AS n FROM hits GROUP BY 1, 2")
+def kmer_lookup(spark, d):
+    found = C.hits(reads(spark, d), C.kmer_index(unitig_nodes(spark, d), INDEX_K), INDEX_K)
+    return found.groupBy("node", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_steps", f"WITH {INDEXED}, {STEPS} SELECT read_id, kind, count(*) AS n FROM kinds GROUP BY 1, 2")
+def read_steps(spark, d):
+    hit = C.hits(reads(spark, d), C.kmer_index(unitig_nodes(spark, d), INDEX_K), INDEX_K)
+    return C.steps(hit, unitig_arcs(spark, d)).groupBy("read_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("node_coverage", f"WITH {INDEXED} SELECT node_id, coalesce(n, 0)::DOUBLE AS cov, length(seq) - {INDEX_K} + 1 AS mlen FROM unitigs LEFT JOIN (SELECT abs(node) AS node_id, count(*) AS n FROM hits GROUP BY 1) USING (node_id)")
+def node_coverage(spark, d):
+    nodes = unitig_nodes(spark, d)
+    cov = C.cov_count(reads(spark, d), nodes, unitig_arcs(spark, d), INDEX_K)[0]
+    return nodes.join(cov, "node_id", "left").select("node_id", F.coalesce("cov", F.lit(0.0)).alias("cov"), S.marginal_length(F.col("seq"), INDEX_K).cast("long").alias("mlen"))
+
+
+@query("position_counts", f"WITH {INDEXED} SELECT abs(node) AS node_id, CASE WHEN node > 0 THEN pos ELSE mlen - 1 - pos END AS pos, count(*) AS n FROM hits GROUP BY 1, 2")
+def position_counts(spark, d):
+    return C.cov_count(reads(spark, d), unitig_nodes(spark, d), unitig_arcs(spark, d), INDEX_K)[1]
+
+
+@query("arc_coverage", f"WITH {INDEXED}, {STEPS} SELECT u.src, u.dst, coalesce(n, 0)::DOUBLE AS cov FROM uarcs u LEFT JOIN (SELECT CASE WHEN pnode < -node THEN pnode ELSE -node END AS src, CASE WHEN pnode < -node THEN node ELSE -pnode END AS dst, count(*) AS n FROM kinds WHERE kind = 'arc' GROUP BY 1, 2) k ON k.src = u.src AND k.dst = u.dst")
+def arc_coverage(spark, d):
+    return C.cov_count(reads(spark, d), unitig_nodes(spark, d), unitig_arcs(spark, d), INDEX_K)[2]
+
+
+@query(
+    "qmer_coverage",
+    f"""WITH {INDEXED} SELECT abs(node) AS node_id, round(sum(list_product(list_transform(range(off, off + {INDEX_K}), lambda i: 1 - 10.0 ** (-(20.0 + i % 20) / 10)))), 6) AS cov FROM hits GROUP BY 1""",
+)
+def qmer_coverage(spark, d):
+    r = reads(spark, d).withColumn("qual", F.substring(F.repeat(F.lit("".join(chr(33 + 20 + i) for i in range(20))), (F.length("seq") / 20).cast("int") + 1), F.lit(1), F.length("seq")))
+    cov = C.cov_count(r, unitig_nodes(spark, d), unitig_arcs(spark, d), INDEX_K, use_qual=True)[0]
+    return cov.select("node_id", F.round("cov", 6).alias("cov"))
+
+
+@query("average_coverage", f"WITH {PARTS} SELECT node_id, round(avg, 9) AS avg FROM parts")
+def average_coverage(spark, d):
+    return parts(spark, d).select("node_id", F.round("avg", 9).alias("avg"))
+
+
+@query("coverage_histogram", f"WITH {PARTS} SELECT floor(avg + 0.5)::BIGINT AS cov, count(*) AS n FROM parts GROUP BY 1")
+def coverage_histogram(spark, d):
+    return C.histogram(parts(spark, d))
+
+
+SPLIT = "SELECT cov, round(sum(weight), 6) AS weight FROM (SELECT floor(avg)::BIGINT AS cov, w * (1 - (avg - floor(avg))) AS weight FROM {0} UNION ALL SELECT floor(avg)::BIGINT + 1, w * (avg - floor(avg)) FROM {0}) WHERE weight > 0 GROUP BY 1"
+
+
+@query("split_histogram", f"WITH {PARTS}, v AS (SELECT avg, 1.0::DOUBLE AS w FROM parts) " + SPLIT.format("v"))
+def split_histogram(spark, d):
+    return C.split_histogram(parts(spark, d)).select("cov", F.round("weight", 6).alias("weight"))
+
+
+@query("error_histogram", f"WITH {PARTS}, v AS (SELECT avg, exp(-avg / 30) AS w FROM parts WHERE exp(-avg / 30) > 1e-15) " + SPLIT.format("v"))
+def error_histogram(spark, d):
+    p = parts(spark, d).withColumn("w", F.exp(-F.col("avg") / 30)).filter("w > 1e-15")
+    return C.split_histogram(p, "avg", "w").select("cov", F.round("weight", 6).alias("weight"))
+
+
+@query("initial_coverage", f"WITH {PARTS} SELECT round(coalesce(sum(cov) / sum(mlen), 2.0), 9) AS coverage FROM parts WHERE cov / mlen >= 5")
+def initial_coverage(spark, d):
+    return C.initial_coverage(parts(spark, d), 1.0, 0.01).select(F.round("coverage", 9).alias("coverage"))
+
+
+# The model and its thresholds.
+
+
+def sql_log_nb(k: str, mean: str, var: str) -> str:
+    return f"""CASE WHEN {var} - {mean} < 1e-3 THEN {k} * ln({mean}) - {mean} - lgamma({k} + 1)
+      ELSE lgamma({k} + {mean} * {mean} / ({var} - {mean})) - lgamma({k} + 1) - lgamma({mean} * {mean} / ({var} - {mean}))
+           + {mean} * {mean} / ({var} - {mean}) * ln(1 - ({var} - {mean}) / {var}) + {k} * ln(({var} - {mean}) / {var}) END"""
+
+
+def sql_log_prob(cov: str, m: str) -> str:
+    weights = "[" + ", ".join(f"{w}::DOUBLE" for w in MODEL.weights) + "]"
+    mean = f"(CASE WHEN {m} = 0 THEN {MODEL.err_lambda} ELSE {m} * {MODEL.lam} END)::DOUBLE"
+    var = f"(CASE WHEN {m} = 0 THEN {MODEL.err_lambda * MODEL.err_odf} ELSE {m} * {MODEL.lam * MODEL.odf} END)::DOUBLE"
+    return f"(ln({weights}[least({m}, {MODEL.k - 1})::INT + 1]) + {sql_log_nb(cov, mean, var)})"
+
+
+EXPECTED = f"CASE WHEN {sql_log_prob('avg', 'floor(avg / 12)')} > {sql_log_prob('avg', '(floor(avg / 12) + 1)')} THEN floor(avg / 12)::INT ELSE floor(avg / 12)::INT + 1 END"
+
+
+@query("densities", f"WITH {PARTS} SELECT node_id, round({sql_log_nb('avg', '12.0', '18.0')}, 7) AS nb, round(avg * ln(12.0) - 12.0 - lgamma(avg + 1), 7) AS poisson, round((avg - 1) * ln(1 - 1 / 12.0) - ln(12.0), 9) AS geometric, round(exp({sql_log_nb('avg', '12.0', '18.0')} - ({sql_log_nb('avg', '24.0', '36.0')})), 4 - ceil(log10(exp({sql_log_nb('avg', '12.0', '18.0')} - ({sql_log_nb('avg', '24.0', '36.0')}))))::INT) > 1 AS single FROM parts")
+def densities(spark, d):
+    a, lit = F.col("avg"), lambda x: F.lit(float(x))
+    return parts(spark, d).select(
+        "node_id",
+        F.round(M.log_negbinomial(a, lit(12), lit(18)), 7).alias("nb"),
+        F.round(M.log_poisson(a, lit(12)), 7).alias("poisson"),
+        F.round(M.log_geometric(a, lit(12)), 9).alias("geometric"),
+        (M.negbinomial_ratio(a, lit(12), lit(18), lit(24), lit(36)) > 1).alias("single"),
+    )
+
+
+@query("expected_multiplicity", f"WITH {PARTS} SELECT node_id, {EXPECTED} AS mult FROM parts")
+def expected_multiplicity(spark, d):
+    return parts(spark, d).select("node_id", MODEL.c_expected(F.col("avg")).alias("mult"))
+
+
+@query(
+    "soft_multiplicity",
+    f"""WITH {PARTS}, e AS (SELECT node_id, avg, {EXPECTED} AS m FROM parts),
+        l AS (SELECT node_id, x, {sql_log_prob('avg', 'x')} AS lp FROM (SELECT node_id, avg, unnest(range(greatest(m - 2, 0), m + 3))::INT AS x FROM e)),
+        n AS (SELECT node_id, x, lp - max(lp) OVER w - ln(sum(exp(lp - mx)) OVER w) AS lp FROM (SELECT *, max(lp) OVER (PARTITION BY node_id) AS mx FROM l) WINDOW w AS (PARTITION BY node_id)),
+        b AS (SELECT node_id, min(x)::INT AS first_mult, arg_max(x, (lp, -x))::INT AS best, max(lp) AS top FROM n GROUP BY 1)
+        SELECT node_id, first_mult, best, round(top, 6) AS log_prob, round(exp(top), 6) AS prob FROM b""".replace("arg_max(x, (lp, -x))", "arg_max(x, lp)"),
+)
+def soft_multiplicity(spark, d):
+    p = parts(spark, d).select("node_id", MODEL.c_soft(F.col("avg"), 2).alias("m"))
+    top = F.array_max("m.logp")
+    return p.select("node_id", F.col("m.first_mult").alias("first_mult"), c_best(F.col("m")).alias("best"), F.round(top, 6).alias("log_prob"), F.round(F.exp(top), 6).alias("prob"))
+
+
+MIXTURE = "mixture AS (SELECT c AS cov, " + ", ".join(f"exp({sql_log_prob('c', str(m))}) AS p{m}" for m in range(MODEL.k)) + f" FROM (SELECT unnest(range(1, {int((MODEL.k + 1) * MODEL.lam)}))::INT AS c))"
+
+
+@query("mixture_table", f"WITH {MIXTURE} SELECT cov, " + ", ".join(f"round(p{m}, 9) AS p{m}" for m in range(MODEL.k)) + " FROM mixture")
+def mixture_table(spark, d):
+    found = spectrum_table(spark, MODEL)
+    return found.select("cov", *[F.round(f"p{m}", 9).alias(f"p{m}") for m in range(MODEL.k)])
+
+
+def sql_term(k: int) -> str:
+    s, al = f"({k} / {k + 1}.0::DOUBLE)", "(ell / a::DOUBLE)"
+    r = f"({s} * (1 - {al}) / ({al} * (1 - {s})))"
+    return f"CASE WHEN ell <= {s} * a THEN q{k + 1} WHEN ell = a THEN {k + 1} * q{k + 1} * {s} ** a ELSE {k + 1} * q{k + 1} / (1 - {r}) / sqrt(2 * pi() * {al} * (1 - {al}) * a) * exp(-a * ({al} * ln({al} / {s}) + (1 - {al}) * ln((1 - {al}) / (1 - {s})))) END"
+
+
+TOTALS = f"{MIXTURE}, q AS (SELECT cov AS a, " + ", ".join(f"p{m} / (p1 + p2 + p3 + p4 + p5) AS q{m}" for m in range(1, 6)) + " FROM mixture), totals AS (SELECT a, ell, least(" + " + ".join(sql_term(k) for k in range(1, 5)) + ", 1.0) AS p FROM (SELECT *, unnest(range(a // 2 + 1, a + 1))::INT AS ell FROM q))"
+THRESHOLDS = f"{TOTALS}, ths AS (SELECT a, coalesce(min(ell) FILTER (p < {EPSILON}), a + 10000)::INT AS th FROM totals GROUP BY 1)"
+
+
+def totals(spark) -> DataFrame:
+    return T.misassembly(T.multiplicities(spectrum_table(spark, MODEL)))
+
+
+@query("misassembly_table", f"WITH {TOTALS} SELECT a, ell, round(p, 9) AS p FROM totals")
+def misassembly_table(spark, d):
+    return totals(spark).select("a", "ell", F.round("p", 9).alias("p"))
+
+
+@query("threshold_table", f"WITH {THRESHOLDS} SELECT a, th FROM ths")
+def threshold_table(spark, d):
+    return T.thresholds(totals(spark), EPSILON).select("a", "th")
+
+
+@query("arc_threshold_filter", f"WITH {THRESHOLDS}, {EVENT_NODES}, {EVENT_ARCS}, n AS (SELECT node_id, (cov / 25)::INT AS c FROM nodes), t AS (SELECT a.src, a.dst, a.cov * 9 AS cov, coalesce(t1.th, x.c + 10000) AS th1, coalesce(t2.th, y.c + 10000) AS th2 FROM arcs a JOIN n x ON x.node_id = abs(a.src) JOIN n y ON y.node_id = abs(a.dst) LEFT JOIN ths t1 ON t1.a = x.c LEFT JOIN ths t2 ON t2.a = y.c) SELECT * FROM t WHERE cov >= th1 AND cov >= th2".replace("(cov / 25)::INT", "floor(cov / 25)::INT"))
+def arc_threshold_filter(spark, d):
+    n = event_nodes(spark, d).select("node_id", F.floor(F.col("cov") / 25).cast("int").alias("c"))
+    th = T.thresholds(totals(spark), EPSILON)
+    a = event_arcs(spark, d).withColumn("cov", F.col("cov") * 9)
+    for side, i in (("src", 1), ("dst", 2)):
+        a = T.with_threshold(a.join(n.select(F.col("node_id").alias("__n"), F.col("c").alias(f"c{i}")), F.abs(side) == F.col("__n")).drop("__n"), th, f"c{i}", f"th{i}")
+    return a.filter("cov >= th1 AND cov >= th2").select("src", "dst", "cov", "th1", "th2")
+
+
+@query(
+    "extension_probability",
+    f"""WITH {TOTALS}, x AS (SELECT (l_partkey % 100)::INT AS n, (l_quantity)::INT AS arc, count(*) AS lines FROM lineitem GROUP BY 1, 2)
+        SELECT x.n, x.arc, x.lines, CASE WHEN x.n > 83 THEN 1.0 WHEN arc - x.n // 2 - 1 > x.n // 2 THEN 1.0 WHEN arc - x.n // 2 - 1 < 0 THEN 0.0 ELSE coalesce(round(p, 9), 1.0) END::DOUBLE AS p
+        FROM x LEFT JOIN totals t ON t.a = x.n AND t.ell = x.arc""",
+)
+def extension_probability(spark, d):
+    x = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 100).cast("int").alias("n"), F.col("l_quantity").cast("int").alias("arc")).agg(F.count(F.lit(1)).alias("lines"))
+    return T.with_prob(x, totals(spark), 83, "n", "arc", "p").select("n", "arc", "lines", F.round("p", 9).alias("p"))
+
+
+@query("phred_characters", "SELECT event_id, chr(33 + greatest(least(40, floor(-10 * log10(value / 500))::INT), 0)) AS q FROM events")
+def phred_characters(spark, d):
+    return table(spark, d, "events").select("event_id", S.phred_char(F.col("value") / 500).alias("q"))
+
+
+# Inference as relations.
+
+
+@query(
+    "factor_marginal",
+    """WITH f AS (SELECT event_id % 6 AS x, event_id % 5 AS y, ln(sum(value)) AS logp FROM events GROUP BY 1, 2), g AS (SELECT event_id % 5 AS y, event_id % 4 AS z, ln(sum(value)) AS logp FROM events GROUP BY 1, 2),
+       p AS (SELECT x, y, z, f.logp + g.logp AS logp FROM f JOIN g USING (y)) SELECT x, z, round(max(logp) + ln(sum(exp(logp - mx))), 8) AS logp FROM (SELECT *, max(logp) OVER (PARTITION BY x, z) AS mx FROM p) GROUP BY x, z""",
+)
+def factor_marginal(spark, d):
+    from strandloom.operators import inference as I
+
+    e = table(spark, d, "events")
+    f = e.groupBy((F.col("event_id") % 6).alias("x"), (F.col("event_id") % 5).alias("y")).agg(F.log(F.sum("value")).alias("logp"))
+    g = e.groupBy((F.col("event_id") % 5).alias("y"), (F.col("event_id") % 4).alias("z")).agg(F.log(F.sum("value")).alias("logp"))
+    return I.marginal(I.product(f, g), ["x", "z"]).select("x", "z", F.round("logp", 8).alias("logp"))
+
+
+@query(
+    "flooding_messages",
+    """WITH f AS (SELECT user_id AS factor_id, user_id % 20 AS a, 20 + user_id % 13 AS b, event_id % 2 AS xa, event_id // 2 % 2 AS xb, ln(sum(value)) AS logp FROM events GROUP BY ALL),
+       m AS (SELECT factor_id, a AS var, xa AS x, ln(2 + (factor_id + xa) % 5) AS logp FROM f GROUP BY ALL UNION ALL SELECT factor_id, b, xb, ln(2 + (factor_id + xb) % 7) FROM f GROUP BY ALL),
+       t AS (SELECT var, x, sum(logp) AS total FROM m GROUP BY 1, 2), inc AS (SELECT m.factor_id, m.var, m.x, total - logp AS inp FROM m JOIN t USING (var, x)),
+       v AS (SELECT f.factor_id, f.a AS var, f.xa AS x, f.logp + i.inp AS v FROM f JOIN inc i ON i.factor_id = f.factor_id AND i.var = f.b AND i.x = f.xb
+             UNION ALL SELECT f.factor_id, f.b, f.xb, f.logp + i.inp FROM f JOIN inc i ON i.factor_id = f.factor_id AND i.var = f.a AND i.x = f.xa),
+       o AS (SELECT factor_id, var, x, max(mx) + ln(sum(exp(v - mx))) AS m FROM (SELECT *, max(v) OVER (PARTITION BY factor_id, var) AS mx FROM v) GROUP BY 1, 2, 3)
+       SELECT factor_id, var, x, round(m - mx - ln(sum(exp(m - mx)) OVER w), 7) AS logp FROM (SELECT *, max(m) OVER (PARTITION BY factor_id, var) AS mx FROM o) WINDOW w AS (PARTITION BY factor_id, var)""",
+)
+def flooding_messages(spark, d):
+    from strandloom.operators import inference as I
+
+    e = table(spark, d, "events")
+    f = e.groupBy(F.col("user_id").alias("factor_id"), (F.col("user_id") % 20).alias("a"), (20 + F.col("user_id") % 13).alias("b"), (F.col("event_id") % 2).alias("xa"), (F.expr("event_id div 2") % 2).alias("xb")).agg(F.log(F.sum("value")).alias("logp"))
+    start = lambda v, x, n: f.select("factor_id", F.col(v).alias("var"), F.col(x).alias("x")).distinct().withColumn("logp", F.log(2 + (F.col("factor_id") + F.col("x")) % n))
+    return I.flooding_step(f, start("a", "xa", 5).unionByName(start("b", "xb", 7))).select("factor_id", "var", "x", F.round("logp", 7).alias("logp"))
+
+
+@query(
+    "vector_distances",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.001) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p, list_sum(e) AS s FROM v),
+       z AS (SELECT a.vec_id, a.s, a.p, list_zip(a.p, b.p) AS zs FROM p a JOIN p b ON b.vec_id = a.vec_id + 1)
+       SELECT vec_id, round(s, 6) AS total, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 6) AS entropy, round(list_sum(list_transform(zs, lambda t: abs(t[1] - t[2]))), 6) AS l1, round(list_max(list_transform(zs, lambda t: abs(t[1] - t[2]))), 6) AS linf,
+              round(list_sum(list_transform(zs, lambda t: t[1] * (ln(t[1]) - ln(t[2])))), 6) AS kl, round(list_sum(list_transform(zs, lambda t: (sqrt(t[1]) - sqrt(t[2])) ** 2)) / 2, 6) AS hellinger FROM z""",
+)
+def vector_distances(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.001).alias("e"))
+    p = v.select("vec_id", M.v_normalise(F.col("e")).alias("p"), M.v_sum(F.col("e")).alias("s"))
+    z = p.join(p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q")), "vec_id")
+    a, b = F.col("p"), F.col("q")
+    return z.select("vec_id", F.round("s", 6).alias("total"), F.round(M.v_entropy(a), 6).alias("entropy"), *[F.round(M.v_distance(a, b, n), 6).alias(n.lower()) for n in ("L1", "LINF", "KL", "HELLINGER")])
+
+
+@query("sensitivity", "SELECT round(sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) / sum(CASE WHEN quality = 1 THEN 1 END)::DOUBLE, 9) AS sensitivity, round(100.0 * sum(toxic) / count(*), 9) AS percentage FROM labels")
+def sensitivity(spark, d):
+    n = table(spark, d, "labels").agg(F.sum(F.when(F.expr("quality = 1 AND toxic = 0"), 1).otherwise(0)).alias("tp"), F.sum(F.when(F.expr("quality = 1 AND toxic = 1"), 1).otherwise(0)).alias("fn"), F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    return n.select(F.round(M.ratio(F.col("tp"), F.col("fn")), 9).alias("sensitivity"), F.round(M.percentage(F.col("t"), F.col("n")), 9).alias("percentage"))
+
+
+@query(
+    "flow_check",
+    f"""WITH {EVENT_NODES}, {EVENT_ARCS}, e AS (SELECT node_id, CASE WHEN {sql_log_prob('avg', 'floor(avg / 12)')} > {sql_log_prob('avg', '(floor(avg / 12) + 1)')} THEN floor(avg / 12)::INT ELSE floor(avg / 12)::INT + 1 END AS m FROM (SELECT node_id, cov / mlen / 5 AS avg FROM nodes)),
+        am AS (SELECT src, dst, CASE WHEN src = -dst THEN 2 ELSE 1 END * (CASE WHEN {sql_log_prob('avg', 'floor(avg / 12)')} > {sql_log_prob('avg', '(floor(avg / 12) + 1)')} THEN floor(avg / 12)::INT ELSE floor(avg / 12)::INT + 1 END) AS m FROM (SELECT src, dst, cov * 12 AS avg FROM arcs)),
+        s AS (SELECT src AS node, sum(m) AS total FROM (SELECT src, m FROM am UNION ALL SELECT -dst, m FROM am WHERE src <> -dst) GROUP BY 1)
+        SELECT e.node_id, coalesce(min(s.total) = any_value(e.m) AND max(s.total) = any_value(e.m), true) AS ok FROM e LEFT JOIN s ON abs(s.node) = e.node_id GROUP BY 1""",
+)
+def flow_check(spark, d):
+    from strandloom.operators.crf import flow_check as check
+
+    nodes = event_nodes(spark, d).select("node_id", (F.col("cov") / F.col("mlen") / 5).alias("avg"))
+    return check(nodes, event_arcs(spark, d).withColumn("cov", F.col("cov") * 12), MODEL, MODEL)
