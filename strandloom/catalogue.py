@@ -535,3 +535,105 @@ def flow_check(spark, d):
 
     nodes = event_nodes(spark, d).select("node_id", (F.col("cov") / F.col("mlen") / 5).alias("avg"))
     return check(nodes, event_arcs(spark, d).withColumn("cov", F.col("cov") * 12), MODEL, MODEL)
+
+
+# Known sequences against the graph.
+
+
+@query(
+    "segments",
+    f"""WITH {INDEXED}, {STEPS}, isl AS (SELECT *, sum(CASE WHEN kind IN ('gap', 'break') THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY off) AS seg FROM kinds),
+        c AS (SELECT read_id, seg, min(off) AS a, max(off) AS b, arg_min(node, off) AS n1, arg_min(pos, off) AS p1, arg_max(node, off) AS n2, arg_max(pos, off) AS p2 FROM isl GROUP BY 1, 2),
+        l AS (SELECT *, lead(a) OVER w AS na, lead(n1) OVER w AS nn, lead(p1) OVER w AS np FROM c WINDOW w AS (PARTITION BY read_id ORDER BY seg))
+        SELECT read_id, (2 * seg - 1)::BIGINT AS seg_no, 'CONTIG' AS type, a AS seq_begin, b + {INDEX_K} AS seq_end, n1 AS src_node, p1 AS src_pos, n2 AS dst_node, p2 AS dst_pos FROM l
+        UNION ALL SELECT read_id, (2 * seg)::BIGINT, 'BREAK', b + {INDEX_K}, na, n2, p2, nn, np FROM l WHERE na IS NOT NULL""",
+)
+def segments(spark, d):
+    from strandloom.operators import compare
+
+    hit = C.hits(reads(spark, d), C.kmer_index(unitig_nodes(spark, d), INDEX_K), INDEX_K)
+    return compare.segments(C.steps(hit, unitig_arcs(spark, d)), INDEX_K)
+
+
+@query("true_multiplicities", f"WITH {INDEXED} SELECT node_id, round(coalesce(n, 0) / (length(seq) - {INDEX_K} + 1)::DOUBLE)::INT AS mult FROM unitigs LEFT JOIN (SELECT abs(node) AS node_id, count(*) AS n FROM hits GROUP BY 1) USING (node_id)")
+def true_multiplicities(spark, d):
+    from strandloom.operators import compare
+
+    nodes, arcs = unitig_nodes(spark, d), unitig_arcs(spark, d)
+    hit = C.hits(reads(spark, d), C.kmer_index(nodes, INDEX_K), INDEX_K)
+    return compare.true_multiplicities(C.steps(hit, arcs), nodes, arcs, INDEX_K)[0]
+
+
+# What has no SQL form: compaction, fitting, inference, assembly, alignment.
+
+
+def item_reads(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("read_id"), bases(F.col("text")).alias("seq"))
+
+
+@query("unitigs")
+def unitigs(spark, d):
+    nodes, _ = K.unitigs(item_reads(spark, d), INDEX_K)
+    return nodes.select("node_id", "seq", "cov", F.size("counts").alias("n_counts"), F.size("arc_counts").alias("n_arc_counts"))
+
+
+@query("annotated_graph")
+def annotated_graph(spark, d):
+    from strandloom.plans.tables import stored
+
+    nodes, arcs = K.unitigs(item_reads(spark, d), INDEX_K)
+    nodes, _ = C.annotate(reads(spark, d), stored(nodes, "unitigs"), stored(arcs, "arcs"), INDEX_K)
+    return nodes.select("node_id", "cov", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.aggregate("arc_counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("steps"))
+
+
+def field_input(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Parts of order lines as nodes with observed coverage and arcs of the event graph among them."""
+    arcs = event_arcs(spark, d).filter("cov >= 1").withColumn("cov", F.col("cov") * 12)
+    nodes = event_nodes(spark, d).withColumn("avg", F.col("cov") / F.col("mlen") / 5)
+    return nodes.join(G.sides(nodes, arcs), "node_id"), arcs
+
+
+@query("field_multiplicities")
+def field_multiplicities(spark, d):
+    from strandloom.operators import crf
+
+    nodes, arcs = field_input(spark, d)
+    found = crf.multiplicities(nodes, arcs, crf.seed_nodes(nodes), MODEL, MODEL, INDEX_K, depth=1)
+    return found.select("seed", "depth", c_best(F.struct("first_mult", "logp")).alias("mult"), F.round(c_log_odds(F.struct("first_mult", "logp")), 6).alias("log_odds"))
+
+
+@query("mixture_fit")
+def mixture_fit(spark, d):
+    from strandloom.operators.model import fit_mixture
+
+    hist = {int(r.cov): r.weight for r in C.split_histogram(parts(spark, d)).collect()}
+    model, rounds = fit_mixture(hist, CovModel(1.0, 1.5, C.initial_coverage(parts(spark, d)).first().coverage, 1.5, (1.0,) * 6))
+    return spark.createDataFrame([(m, float(w), float(model.lam), float(model.odf), rounds) for m, w in enumerate(model.weights)], "mult int, weight double, lam double, odf double, rounds int")
+
+
+@query("contigs")
+def contigs(spark, d):
+    from strandloom.operators import assemble
+
+    nodes, arcs = K.kmer_graph(reads(spark, d), INDEX_K, 3)
+    p = T.misassembly(T.multiplicities(spectrum_table(spark, MODEL)))
+    return assemble.assemble(nodes, arcs, T.thresholds(p, EPSILON), p, 83, INDEX_K, low=2.9)
+
+
+@query("sequence_alignment")
+def sequence_alignment(spark, d):
+    from strandloom.operators import align
+
+    n = unitig_nodes(spark, d)
+    pairs = n.join(n.select((F.col("node_id") - 1).alias("node_id"), F.col("seq").alias("other")), "node_id")
+    return align.align_pairs(pairs, "seq", "other")
+
+
+@query("read_alignment")
+def read_alignment(spark, d):
+    from strandloom.operators import align
+
+    nodes, arcs = unitig_nodes(spark, d), unitig_arcs(spark, d)
+    nodes = nodes.withColumns({"cov": F.lit(0.0), "counts": F.array().cast("array<bigint>"), "arc_counts": F.array().cast("array<bigint>")})
+    r = table(spark, d, "benchmark").select(F.col("item_id").alias("read_id"), F.concat(bases(F.col("text")), F.lit("ACGTTGCA")).alias("seq"))
+    return align.align_reads(r, C.hits(r, C.kmer_index(nodes, INDEX_K), INDEX_K), nodes, arcs, INDEX_K)

@@ -107,7 +107,7 @@ def reach(steps: DataFrame) -> DataFrame:
         hit = stored(hit, "hit")
         found = stored(found.unionByName(hit.filter("head IS NOT NULL").select("node", "head", (F.col("dist") + F.col("d")).alias("dist"), F.least("least", "l").alias("least"))), "found")
         rest = hit.filter("head IS NULL").select("node", "jump", "dist", "least")
-        going = stored(rest.join(rest.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("dist").alias("d"), F.col("least").alias("l")), "jump").select("node", F.col("next").alias("jump"), (F.col("dist") + F.col("d")).alias("dist"), F.least("least", "l").alias("least")), "going")
+        going = stored(rest.join(going.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("dist").alias("d"), F.col("least").alias("l")), "jump").select("node", F.col("next").alias("jump"), (F.col("dist") + F.col("d")).alias("dist"), F.least("least", "l").alias("least")), "going")
         now = going.count()
         same = same + 1 if now == left else 0
         left = now
