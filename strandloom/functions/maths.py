@@ -21,6 +21,11 @@ LANCZOS = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lgamma(x: Column) -> Column:
     """ln Gamma for x of at least 0.5."""
     z = x - 1
@@ -73,8 +78,7 @@ def geometric_negbinomial_ratio(k: Column, mean: Column, nb_mean: Column, nb_var
 
 def log_sum_exp(values: Column) -> Column:
     """Of an array."""
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return let(values, lambda v: let(F.array_max(v), lambda top: top + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))))
 
 
 def log_sum_exp2(x: Column, y: Column) -> Column:
@@ -122,8 +126,7 @@ def v_max_abs(v: Column) -> Column:
 
 
 def v_normalise(v: Column) -> Column:
-    total = v_sum(v)
-    return F.transform(v, lambda x: x / total)
+    return let(v_sum(v), lambda total: F.transform(v, lambda x: x / total))
 
 
 def v_log0(v: Column) -> Column:

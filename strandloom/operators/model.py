@@ -85,10 +85,9 @@ class CovModel:
 
     def c_soft(self, cov: Column, alternatives: int) -> Column:
         """struct(first_mult, logp)."""
-        m = self.c_expected(cov)
-        first = F.greatest(m - alternatives, F.lit(0))
-        logs = F.transform(F.sequence(first, m + alternatives), lambda x: self.c_log_prob(cov, x))
-        return F.struct(first.alias("first_mult"), F.transform(logs, lambda x: x - M.log_sum_exp(logs)).alias("logp"))
+        logs = lambda m: F.transform(F.sequence(F.greatest(m - alternatives, F.lit(0)), m + alternatives), lambda x: self.c_log_prob(cov, x))
+        shifted = lambda found: M.let(M.log_sum_exp(found), lambda total: F.transform(found, lambda x: x - total))
+        return M.let(self.c_expected(cov), lambda m: F.struct(F.greatest(m - alternatives, F.lit(0)).alias("first_mult"), M.let(logs(m), shifted).alias("logp")))
 
 
 def c_best(mult: Column) -> Column:
