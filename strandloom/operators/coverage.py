@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as S
 from strandloom.operators import kmers as K
 from strandloom.operators.graph import both_strands
+from strandloom.plans.tables import stored
+
+#: Rows of a k-mer index that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
@@ -21,11 +25,17 @@ def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
 
 
 def hits(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(read_id, offset, node, pos): k-mers of reads found in the graph, as places on signed nodes."""
-    found = K.kmer_offsets(reads, k).withColumn("canon", S.canonical(F.col("kmer")))
-    joined = found.join(index.withColumnRenamed("kmer", "canon"), "canon")
-    ahead = (F.col("canon") == F.col("kmer")) == F.col("same")
-    return joined.select("read_id", "offset", F.when(ahead, F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.when(ahead, F.col("pos")).otherwise(F.col("mlen") - 1 - F.col("pos")).alias("pos"), "mlen")
+    """(read_id, offset, node, pos, mlen): k-mers of reads found in the graph, as places on signed nodes.
+
+    The index is turned to both strands, so that reads' windows are joined as they are. It is written first; with up to
+    BROADCAST_ROWS rows (of about 100 bytes) it is broadcast, and only hits are shuffled afterwards.
+    """
+    place = lambda ahead: (F.when(ahead, F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.when(ahead, F.col("pos")).otherwise(F.col("mlen") - 1 - F.col("pos")).alias("pos"), F.col("mlen"))
+    back = index.filter(S.revcomp(F.col("kmer")) != F.col("kmer"))
+    both = index.select("kmer", *place(F.col("same"))).unionByName(back.select(S.revcomp(F.col("kmer")).alias("kmer"), *place(~F.col("same"))))
+    both = stored(both, "index")
+    small = both.count() <= BROADCAST_ROWS
+    return K.kmer_offsets(reads, k).join(F.broadcast(both) if small else both, "kmer").select("read_id", "offset", "node", "pos", "mlen")
 
 
 def steps(hit: DataFrame, arcs: DataFrame) -> DataFrame:
