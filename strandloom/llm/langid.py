@@ -17,9 +17,11 @@ from strandloom.session import ship
 
 #: Bytes of a segment; units of each direction; segments that run side by side.
 SEGMENT, UNITS, ABREAST = 64, 12, 2048
-#: Labelled documents for each language, characters taken from each (from a place that its hash decides), steps, segments in a step, seed.
-SAMPLE_DOCS, SAMPLE_CHARS, STEPS, STEP_SEGMENTS, SEED = 300, 300, 300, 192, 7
+#: Labelled documents for each language, how many times as many are drawn before the least hashes are taken, characters taken from each (from a place that its hash decides), steps, segments in a step, seed.
+SAMPLE_DOCS, DRAWN, SAMPLE_CHARS, STEPS, STEP_SEGMENTS, SEED = 300, 8, 300, 300, 192, 7
 RATE = 0.02
+#: Up to as many labels are broadcast (a row is under 100 bytes).
+LABELS = 10_000
 
 #: Bytes that can be part of a letter.
 LETTER = np.zeros(256, bool)
@@ -143,10 +145,22 @@ def segmented(text: str) -> np.ndarray:
 
 
 def trained(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Network | None:
-    """A network for the labels that occur; None if no document with a letter has one. At most SAMPLE_DOCS documents of each label are read, those of least hash."""
-    order = F.xxhash64(F.lit("sample"), F.col(id_col), F.length(text_col))
+    """A network for the labels that occur; None if no document with a letter has one.
+
+    At most SAMPLE_DOCS documents of each label are read, those of least hash. Labels are counted first, and only hashes
+    under a bound that leaves about DRAWN times as many go on, so that what is ranked does not grow with the input. The
+    driver holds one count for each label.
+    """
+    labelled = docs.filter(F.col(lang_col).isNotNull())
+    counts = {r.lang: r.n for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return None
+    order = F.xxhash64(F.lit("sample"), F.col(id_col))
+    limits = docs.sparkSession.createDataFrame([(x, min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, DRAWN * SAMPLE_DOCS / n)))) for x, n in counts.items()], "lang string, limit_ long")
     place = F.pmod(F.xxhash64(F.lit("place"), F.col(id_col)), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    part = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).substr(place, F.lit(SAMPLE_CHARS)).alias("part"))
+    part = labelled.select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).alias("part"), place.alias("place"))
+    part = part.join(F.broadcast(limits) if len(counts) <= LABELS else limits, "lang").filter("order <= limit_").filter(F.col("part").rlike(r"\p{L}"))
+    part = part.select("lang", "order", F.col("part").substr(F.col("place"), F.lit(SAMPLE_CHARS)).alias("part"))
     least = part.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order", "part"))).filter(F.col("place") <= SAMPLE_DOCS)
     rows = sorted((r.lang, r.order, r.part) for r in least.select("lang", "order", "part").collect())
     if not rows:
