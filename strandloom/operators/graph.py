@@ -213,3 +213,35 @@ def sanity(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
     wrong = nodes.filter((F.size("counts") != F.length("seq") - k + 1) | (F.size("arc_counts") != F.length("seq") - k)).select(F.lit("wrong number of counts").alias("problem"))
     twice = canonical_arcs(arcs.withColumn("cov", F.lit(1.0))).filter("cov > 1").select(F.lit("arc stored twice").alias("problem"))
     return dead.unionByName(apart).unionByName(wrong).unionByName(twice).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def within(nodes: DataFrame, arcs: DataFrame, source: int, most: int, max_rounds: int = 1000) -> DataFrame:
+    """(node, dist): signed nodes whose least distance from the end of a source, in bases added, is at most a number. Distances are relaxed in rounds of joins."""
+    add = nodes.select(F.explode(F.array("node_id", -F.col("node_id"))).alias("dst"), F.size("counts").alias("w"))
+    steps = stored(both_strands(arcs).join(add, "dst").select("src", "dst", "w"), "steps")
+    found = stored(nodes.sparkSession.createDataFrame([(source, 0)], "node int, dist int"), "within")
+    for _ in range(max_rounds):
+        more = found.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist")).filter(F.col("dist") <= most)
+        new = stored(found.unionByName(more).groupBy("node").agg(F.min("dist").alias("dist")), "within")
+        if new.exceptAll(found).isEmpty():
+            return new
+        found = new
+    return found
+
+
+def between(nodes: DataFrame, arcs: DataFrame, source: int, target: int, most: int) -> DataFrame:
+    """(node): signed nodes for which the bases added from a source to them and from a target back to them are at most a number together."""
+    ahead = within(nodes, arcs, source, most)
+    back = within(nodes, arcs, -target, most).select((-F.col("node")).alias("node"), F.col("dist").alias("rest"))
+    return ahead.join(back, "node").filter(F.col("dist") + F.col("rest") <= most).select("node")
+
+
+def present(moves: DataFrame, ids: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node_id, now): where nodes are after a chain of moves (node_id, to)."""
+    found = ids.select("node_id", F.col("node_id").alias("now"))
+    for _ in range(max_rounds):
+        step = stored(found.join(moves.select(F.col("node_id").alias("now"), "to"), "now", "left").select("node_id", "now", "to"), "present")
+        found = step.select("node_id", F.coalesce("to", "now").alias("now"))
+        if step.filter("to IS NOT NULL").isEmpty():
+            break
+    return found

@@ -75,3 +75,13 @@ def test_components_and_neighbourhood(spark):
     arcs = spark.createDataFrame([(-i - 1, -i, 1.0) for i in range(1, 10)], "src int, dst int, cov double")
     near = G.neighbourhood(arcs, spark.createDataFrame([(5,)], "seed int"), 2)
     assert sorted((r.node_id, r.dist) for r in near.collect()) == [(3, 2), (4, 1), (5, 0), (6, 1), (7, 2)]
+
+
+def test_subgraphs_and_moves(spark):
+    nodes = spark.createDataFrame([(i, [1] * n) for i, n in ((1, 5), (2, 3), (3, 10), (4, 2))], "node_id int, counts array<bigint>")
+    arcs = G.canonical_arcs(spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (2, 4, 1.0), (3, 4, 1.0)], "src int, dst int, cov double"))
+    assert {r.node: r.dist for r in G.within(nodes, arcs, 1, 5).collect()} == {1: 0, 2: 3, 4: 5}
+    assert {r.node: r.dist for r in G.within(nodes, arcs, 1, 20).collect()} == {1: 0, 2: 3, 3: 10, 4: 5}
+    assert sorted(r.node for r in G.between(nodes, arcs, 1, 4, 11).collect()) == [1, 2, 4]
+    moves = spark.createDataFrame([(1, 2), (2, 5), (7, 1)], "node_id int, to int")
+    assert {r.node_id: r.now for r in G.present(moves, spark.createDataFrame([(1,), (3,), (7,)], "node_id int")).collect()} == {1: 5, 3: 3, 7: 5}
