@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a single machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("strandloom.shared.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("strandloom.shared.dir", found)
