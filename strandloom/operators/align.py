@@ -184,28 +184,61 @@ def align_pairs(pairs: DataFrame, a: str, b: str, scores: Scores | None = None)
     return pairs.mapInPandas(run, ", ".join([*kept, "score long", "n_match long", "n_subst long", "n_indel long"]))
 
 
-def align_reads(reads: DataFrame, hits: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, depth: int = 2, scores: Scores | None = None) -> DataFrame:
-    """(read_id, aligned, score, path, n_subst, n_indel): reads along the graph from their first hit, over the nodes up to `depth` arcs away. Each read comes with its own local graph, so no part of the graph is on every executor."""
-    from strandloom.operators.graph import both_strands, neighbourhood, oriented_nodes
+def covered(nodes: DataFrame, arcs: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """(seed, node): signed nodes that start less than `need` bases behind the end of a seed, along arcs, for seeds (seed, need); each seed too. Distances are relaxed until nothing changes, which ends, as every node adds a base."""
+    from strandloom.operators.graph import both_strands, oriented_nodes
+    from strandloom.plans.tables import stored
+
+    add = oriented_nodes(nodes, k).select(F.col("node_id").alias("dst"), (F.length("seq") - k + 1).alias("w"))
+    steps = stored(both_strands(arcs).join(add, "dst").select(F.col("src").alias("node"), "dst", "w").distinct(), "steps")
+    found = stored(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("dist"), "need"), "covered")
+    front = found
+    while not front.isEmpty():
+        more = front.filter("dist < need").join(steps, "node").select("seed", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "need")
+        more = more.groupBy("seed", "node").agg(F.min("dist").alias("dist"), F.first("need").alias("need"))
+        known = found.select("seed", "node", F.col("dist").alias("had"))
+        front = stored(more.join(known, ["seed", "node"], "left").filter("had IS NULL OR dist < had").select("seed", "node", "dist", "need"), "front")
+        found = stored(found.unionByName(front).groupBy("seed", "node").agg(F.min("dist").alias("dist"), F.first("need").alias("need")), "covered")
+    return found.select("seed", "node")
+
+
+def align_reads(reads: DataFrame, hits: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, scores: Scores | None = None) -> DataFrame:
+    """(read_id, aligned, score, path, n_subst, n_indel): reads along the graph from their first hit both ways, over all nodes that a read's length reaches. A read without a hit comes back as not aligned, with an empty path. Each read comes with its own local graph, so no part of the graph is on every executor."""
+    from strandloom.operators.graph import both_strands, oriented_nodes
+    from strandloom.plans.tables import stored
 
     ship(reads.sparkSession)
     scores = scores or Scores(2, -1, -3)
     first = hits.groupBy("read_id").agg(F.min(F.struct("offset", "node", "pos")).alias("h")).select("read_id", "h.*")
-    starts = first.select(F.col("node").alias("seed")).distinct()
-    near = neighbourhood(arcs, starts, depth, directed=True)
     seqs = oriented_nodes(nodes, k).select(F.col("node_id").alias("node"), "seq")
+    placed = reads.select("read_id", F.col("seq").alias("read")).join(first, "read_id").join(seqs.select("node", F.length("seq").alias("size")), "node")
+    placed = stored(placed, "placed")
+    ahead = placed.select(F.col("node").alias("seed"), (F.length("read") - F.col("offset") + 1 - (F.col("size") - F.col("pos"))).alias("need"))
+    back = placed.select((-F.col("node")).alias("seed"), (F.col("offset") + 1 - F.col("pos")).alias("need"))
+    near = covered(nodes, arcs, ahead.unionByName(back).groupBy("seed").agg(F.max("need").alias("need")), k)
     ways = both_strands(arcs).groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list("dst")).alias("ways"))
-    local = near.join(seqs, "node").join(ways, "node", "left").groupBy("seed").agg(F.collect_list(F.struct("node", "seq", "ways")).alias("local"))
-    joined = reads.select("read_id", F.col("seq").alias("read")).join(first, "read_id").join(local, F.col("node") == F.col("seed"))
+    local = stored(near.join(seqs, "node").join(ways, "node", "left").groupBy("seed").agg(F.collect_list(F.struct("node", "seq", "ways")).alias("local")), "local")
+    joined = placed.join(local.select(F.col("seed").alias("node"), "local"), "node").join(local.select((-F.col("seed")).alias("node"), F.col("local").alias("back")), "node")
+
+    def graph(part) -> LocalGraph:
+        known = {x["node"]: x["seq"] for x in part}
+        return LocalGraph(known, {x["node"]: [w for w in (x["ways"] if x["ways"] is not None else []) if w in known] for x in part}, k)
 
     def run(frames):
         for pdf in frames:
             rows = []
             for r in pdf.itertuples():
-                known = {x["node"]: x["seq"] for x in r.local}
-                graph = LocalGraph(known, {x["node"]: [w for w in (x["ways"] if x["ways"] is not None else []) if w in known] for x in r.local}, k)
-                found, path = graph.extend(r.node, r.pos, r.read[r.offset :], scores)
-                rows.append((r.read_id, bool(path), found.score, path, found.stats[1], found.stats[2]))
+                found, path = graph(r.local).extend(r.node, r.pos, r.read[r.offset :], scores)
+                score, subst, indel = found.score, found.stats[1], found.stats[2]
+                if r.offset:
+                    before = r.read[: r.offset][::-1].translate(str.maketrans("ACGT", "TGCA"))
+                    found, other = graph(r.back).extend(-r.node, r.size - r.pos, before, scores)
+                    path = [-n for n in reversed(other[1:])] + path
+                    score, subst, indel = score + found.score, subst + found.stats[1], indel + found.stats[2]
+                rows.append((r.read_id, bool(path), score, path, subst, indel))
             yield pd.DataFrame(rows, columns=["read_id", "aligned", "score", "path", "n_subst", "n_indel"])
 
-    return joined.select("read_id", "read", "offset", "node", "pos", "local").mapInPandas(run, "read_id long, aligned boolean, score long, path array<int>, n_subst long, n_indel long")
+    found = joined.select("read_id", "read", "offset", "node", "pos", "size", "local", "back").mapInPandas(run, "read_id long, aligned boolean, score long, path array<int>, n_subst long, n_indel long")
+    zero = F.lit(0).cast("long")
+    lost = reads.join(first, "read_id", "left_anti").select(F.col("read_id").cast("long").alias("read_id"), F.lit(False).alias("aligned"), zero.alias("score"), F.array().cast("array<int>").alias("path"), zero.alias("n_subst"), zero.alias("n_indel"))
+    return found.unionByName(lost)
