@@ -273,6 +273,12 @@ def components(spark, d):
     return G.components(table(spark, d, "events").filter("event_id % 10 = 0").select(F.col("user_id").alias("a"), (F.col("event_id") % 1000 + 100000).alias("b")))
 
 
+@query("event_components")
+def event_components(spark, d):
+    """As components, over all events; the recursive SQL of that query walks all pairs of a component, so this one has none."""
+    return G.components(table(spark, d, "events").select(F.col("user_id").alias("a"), (F.col("event_id") % 1000 + 100000).alias("b")))
+
+
 # Coverage.
 
 
