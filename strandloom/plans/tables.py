@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a single machine."""
@@ -19,8 +21,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written once in the shared folder and read again, so that the lineage of a loop ends at each round."""
-    path = f"{shared_dir(df.sparkSession)}/strandloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    """The path and its file system, of whatever kind, as the JVM has them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: lineage ends there, and losing an executor loses nothing.
+
+    The tables of an application lie in one folder, which goes when the application ends; `forget` removes a table before.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    folder = f"{shared_dir(spark)}/strandloom-{spark.sparkContext.applicationId}"
+    context = spark.sparkContext
+    if getattr(context, "_strandloom_folder", None) != folder:
+        path, system = _file_system(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        context._strandloom_folder = folder
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._strandloom_path = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; results that still refer to them can't be read afterwards."""
+    for table in tables:
+        path, system = _file_system(table.sparkSession, table._strandloom_path)
+        system.delete(path, True)
