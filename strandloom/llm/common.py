@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.plans import tables
+from strandloom.plans.tables import forget, shared_dir  # noqa: F401
 from strandloom.session import ship
 
 #: The white space that ends a word, as characters.
@@ -19,28 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; without the setting (tests, one machine) a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("strandloom.shared.dir", None)
-    if not found:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("strandloom.shared.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, label: str, compression: str = "none") -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: lineage ends there, and losing an executor loses nothing.
+    """df as a table in the shared folder (see plans.tables).
 
     Without compression by default: most are narrow tables of hashes, often in many small files, and a codec's buffers for each of
     them stay outside the heap until the executor happens to collect its garbage.
     """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return tables.stored(df, label, compression)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before them until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def partitions(spark: SparkSession) -> int:
@@ -66,10 +62,16 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, rows: int,
 
 
 def chosen(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str, same: F.Column | None = None) -> DataFrame:
-    """The rows of docs whose identifier and text hash are in stay (doc_id, same, n: rows of docs with both); of rows that repeat both, one."""
+    """The rows of docs whose identifier and text hash are in stay (doc_id, same, n: rows of docs with both); of rows that repeat both, one.
+
+    Null identifiers match null identifiers; a null text has the hash of an empty one. Columns of docs keep names and values:
+    helper columns get names that docs does not have. An empty table on either side gives an empty result.
+    """
     same = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if same is None else same
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), "n")
-    joined = docs.withColumn("__hash", same).join(stay.drop("n"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same")), "left_semi")
-    if not stay.filter("n > 1").isEmpty():
-        joined = joined.dropDuplicates([id_col, "__hash"])
-    return joined.drop("__hash")
+    hash_, id_, same_ = fresh(docs, "hash", "id", "same")
+    several = not stay.filter("n > 1").isEmpty()
+    stay = stay.select(F.col("doc_id").alias(id_), F.col("same").alias(same_))
+    joined = docs.withColumn(hash_, same).join(stay, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(same_)), "left_semi")
+    if several:
+        joined = joined.dropDuplicates([id_col, hash_])
+    return joined.drop(hash_)

@@ -17,21 +17,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
     graph is contracted to where its nodes moved; a fixed part of the nodes goes in each round on average, whatever the
     shape. No edges give an empty result; repeated edges and loops do no harm.
     """
-    edges = common.stored(edges.select("a", "b"), "links")
-    loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    edges = common.stored(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct(), "edges")
+    links = common.stored(edges.select("a", "b"), "links")
+    loops = links.filter("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    edges = common.stored(links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select("b", "a")).distinct(), "edges")
     moves = []
     while not edges.isEmpty():
         first = lambda node: F.struct(F.xxhash64(F.lit(len(moves)), node).alias("priority"), node.alias("node"))
         move = common.stored(edges.groupBy("a").agg(F.least(F.min(first(F.col("b"))), first(F.col("a")))["node"].alias("to")).select(F.col("a").alias("node"), "to"), "moves")
         moves.append(move)
         a, b = move.select(F.col("node").alias("a"), F.col("to").alias("a_to")), move.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
-        edges = common.stored(edges.join(a, "a").join(b, "b").filter("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "edges")
-    if not moves:
-        return loops.distinct()
+        before, edges = edges, common.stored(edges.join(a, "a").join(b, "b").filter("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "edges")
+        common.forget(before)
 
-    def before(later: DataFrame, move: DataFrame) -> DataFrame:
+    def earlier(later: DataFrame, move: DataFrame) -> DataFrame:
         return move.join(later.select(F.col("node").alias("to"), "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
 
-    found = reduce(before, reversed(moves[:-1]), moves[-1].select("node", F.col("to").alias("root")))
-    return found.union(loops.distinct().join(found, "node", "left_anti"))
+    if moves:
+        found = reduce(earlier, reversed(moves[:-1]), moves[-1].select("node", F.col("to").alias("root")))
+        found = found.union(loops.distinct().join(found, "node", "left_anti"))
+    else:
+        found = loops.distinct()
+    found = common.stored(found, "roots")
+    common.forget(links, edges, *moves)
+    return found
