@@ -5,14 +5,57 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from strandloom.llm import mixing, sharding
-
-
-def test_targets():
-    assert mixing.targets([("a", 10), ("b", 10), (None, 40)]) == {"a": 10.0, "b": 20.0, None: 30.0}
-    found = mixing.targets([("a", 100), ("b", 100), ("c", 1), ("d", 0)])
-    assert found["c"] == 3.0 and found["d"] == 0.0 and sum(found.values()) == pytest.approx(201) and found["b"] == pytest.approx(2 * found["a"])
-    assert mixing.targets([]) == {}
+from pyspark.sql import functions as F
+
+from strandloom.llm import exactdedup, mixing, sharding
+
+
+def targets(sizes, weights=(1, 2, 3), repeats=3):
+    """The rule of the targets, source by source."""
+    order = sorted((s for s, _ in sizes if s is not None)) + [s for s, _ in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    size, found, active, left = dict(sizes), {}, list(order), float(sum(n for _, n in sizes))
+    while active:
+        share = {s: left * weight[s] / sum(weight[x] for x in active) for s in active}
+        above = [s for s in active if share[s] > repeats * size[s]]
+        if not above:
+            return found | share
+        found |= {s: float(repeats * size[s]) for s in above}
+        left -= sum(found[s] for s in above)
+        active = [s for s in active if s not in found]
+    return found
+
+
+def taken(rows, target):
+    """How many words the mix takes of each row (id, source, size, hash): whole rounds, then by hash until the budget ends, to the nearer side."""
+    found = {}
+    for source, want in target.items():
+        mine = [r for r in rows if r[1] == source]
+        size = sum(r[2] for r in mine)
+        times = min(int(want // size), 3) if size else 0
+        need, groups = want - times * size, defaultdict(int)
+        for _, _, n, h in mine:
+            groups[h] += n
+        below = upto = 0
+        for h in sorted(groups):
+            if upto + groups[h] > need:
+                below = h + 1 if 2 * (need - upto) >= groups[h] and need > upto else h
+                break
+            upto += groups[h]
+        else:
+            below = 1 << 60
+        if need <= 0:
+            below = 0
+        found |= {r[0]: r[2] * (times + (r[3] < below)) for r in mine}
+    return found
+
+
+@pytest.mark.parametrize("sizes", [[("a", 10), ("b", 10), (None, 40)], [("a", 100), ("b", 100), ("c", 1), ("d", 0)], [("", 5), (None, 0), ("é", 7), ("z", 7)], [("a", 0)], [(f"s{i}", i * i % 97) for i in range(40)], []])
+def test_targets(spark, sizes):
+    given = spark.createDataFrame([(s, n, 1) for s, n in sizes], "source string, source_size long, n long").withColumn("key", mixing.source_key(F.col("source")))
+    found = {r.source: r.target for r in mixing.targets(given).collect()}
+    want = targets(sizes)
+    assert found.keys() == want.keys() and all(found[s] == pytest.approx(want[s], rel=1e-12) for s in want)
 
 
 @pytest.fixture(scope="module")
@@ -22,18 +65,24 @@ def documents(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
-def test_mix_comes_near_its_targets(documents):
+def test_mix_comes_near_its_targets(documents, monkeypatch):
     found = mixing.mix(documents).collect()
-    taken, size, target = defaultdict(int), defaultdict(int), {}
+    taken_by, size, target = defaultdict(int), defaultdict(int), {}
     for r in found:
         assert 0 <= r.taken <= 3 * r.size and r.taken % max(r.size, 1) == 0
-        taken[r.source] += r.taken
+        taken_by[r.source] += r.taken
         size[r.source] += r.size
         target[r.source] = r.target
-    assert target == mixing.targets(list(size.items()))
+    want = targets(list(size.items()))
+    assert target.keys() == want.keys() and all(target[s] == pytest.approx(t, rel=1e-12) for s, t in want.items())
+    assert all(r.source_size == size[r.source] for r in found)
+    hashes = {r.doc_id: r.h for r in documents.select("doc_id", mixing.hashed("doc_id").alias("h")).collect()}
+    assert {r.doc_id: r.taken for r in found} == taken([(r.doc_id, r.source, r.size, hashes[r.doc_id]) for r in found], target)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert {r.doc_id: r.taken for r in mixing.mix(documents).collect()} == {r.doc_id: r.taken for r in found}
+    monkeypatch.undo()
     for s in target:
-        assert abs(taken[s] - target[s]) <= 60
-        assert all(r.source_size == size[s] for r in found if r.source == s)
+        assert abs(taken_by[s] - target[s]) <= 60
     again = {r.doc_id: r.taken for r in mixing.mix(documents.repartition(7)).collect()}
     assert again == {r.doc_id: r.taken for r in found}
     rows = mixing.mixed(documents)
@@ -47,6 +96,15 @@ def test_mix_of_odd_rows(odd, empty):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_columns_of_any_name(documents):
+    names = ["key", "n", "whole", "below", "copy", "Key", "__whole", "__hash", "hash", "size", "s", "target"][:5] + ["__whole", "__s", "__hash", "hash", "size", "target"]
+    wide = documents.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    found = mixing.mixed(wide)
+    assert found.columns == wide.columns and found.select("doc_id").collect() and found.count() == mixing.mixed(documents).count()
+    kept = exactdedup.without_exact_duplicates(wide)
+    assert kept.columns == wide.columns and kept.first()["__hash"] == names.index("__hash") and kept.first()["hash"] == names.index("hash")
+
+
 class Fixed(sharding.Groups):
     def __init__(self, weights):
         self.upto, self.known = np.concatenate(([0], np.cumsum(weights))), {i: (np.array([i]), np.array([sum(weights[: i + 1])])) for i in range(len(weights))}
