@@ -1,11 +1,12 @@
-"""Token counts of whole texts, as a tokenizer's own library gives them.
-
-White space is in no token of this kind of tokenizer and decides nothing about what follows it, so a space or a newline
-is a proven stable boundary: texts are counted piece by piece between them, and pieces that come again are not encoded
-again. Huge texts, which may have no such boundary for long, are encoded by the library in overlapping chunks with
-offsets. Two neighbouring chunks are spliced where both start a token after white space and agree on the tokens that
-follow; if the overlap has no such place it is widened, and at last the chunk itself. Pieces are remembered in a table of
-bounded size, which is emptied when full.
+"""Token counts of whole texts, as a tokenizer's own library gives them, by overlap resynchronisation.
+
+Every text of more than CHUNK characters is encoded in chunks that overlap, with offsets. The right chunk starts anywhere,
+mostly inside a word; where both chunks start a token after white space and agree on the AGREE tokens that follow, they
+are resynchronised: white space is in no token of this kind of tokenizer and decides nothing about what follows it, so
+that place is a proven stable boundary, and the chunks are spliced there. If an overlap has no such place it is widened,
+at least to the next white space, and what is known of it is not encoded again: a worker remembers the tokens of short
+stretches between white space in a table of bounded bytes, which is emptied when full. Longer stretches are encoded by
+the library where they are met.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from tokenizers import Tokenizer
 from strandloom.session import ship
 
 MODEL = "word_bpe_49k.json"
-#: Texts of more characters are encoded in chunks of that many, overlapping by at least OVERLAP; tokens that must agree.
-HUGE, OVERLAP, AGREE = 1 << 16, 512, 8
-#: Pieces that a worker remembers; characters of texts that are counted at once.
-KNOWN, BATCH = 500_000, 4_000_000
+#: Characters of a chunk and of the first overlap; tokens that must agree.
+CHUNK, OVERLAP, AGREE = 1024, 64, 8
+#: Bytes that a worker's remembered stretches may take, about (each takes ROW beside its characters and tokens); characters of those that are remembered; characters of texts that are counted at once.
+KNOWN_BYTES, ROW, SHORT, BATCH = 100_000_000, 200, 200, 4_000_000
 #: More tokens than this are over the limit.
 LIMIT = 2048
 
@@ -31,60 +32,85 @@ class Counter:
     """Counts tokens without begin, end or added special tokens; special strings in a text are what the library makes of them."""
 
     def __init__(self, path: str):
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library, self.known, self.size = Tokenizer.from_file(path), {}, 0
         self.library.no_truncation()
         self.library.no_padding()
 
-    def encoded(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, id) of each token of a text."""
-        found = self.library.encode(text, add_special_tokens=False)
-        return [(a, b, i) for (a, b), i in zip(found.offsets, found.ids, strict=True)]
-
-    def spliced(self, text: str, size: int = HUGE, overlap: int = OVERLAP) -> int:
-        """The number of tokens of a huge text."""
-        count = at = 0
-        now, end = size, min(len(text), size)
-        left = self.encoded(text[:end])
-        while end < len(text):
-            width, place = overlap, None
-            while place is None and width < 2 * (end - at):
-                start, stop = max(at, end - width), min(len(text), end + now)
-                right = [(a + start, b + start, i) for a, b, i in self.encoded(text[start:stop])]
-                place = common(left, right, text, start, end)
-                width *= 2
-            if place is None:  # no boundary in all of the chunk: a longer one
-                now *= 2
-                end = min(len(text), at + now)
-                left = [(a + at, b + at, i) for a, b, i in self.encoded(text[at:end])]
-                continue
-            count += sum(a < place for a, _, _ in left)
-            at, left, end, now = place, [t for t in right if t[0] >= place], stop, size
-        return count + len(left)
-
-    def counts(self, texts: list[str]) -> list[int]:
-        pieces = [[] if len(t) > HUGE else t.replace("\n", " ").split(" ") for t in texts]
-        all_pieces = set().union(*pieces)
-        fresh = all_pieces - self.known.keys()
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known.clear()
-            fresh = all_pieces
-        fresh = list(fresh)
+    def learn(self, fresh: list[str]) -> None:
+        """Remember the tokens of short stretches."""
         for k in range(0, len(fresh), 1000):
             some = fresh[k : k + 1000]
-            self.known.update(zip(some, map(len, self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [self.spliced(t) if len(t) > HUGE else sum(map(self.known.__getitem__, p)) for t, p in zip(texts, pieces, strict=True)]
-
-
-def common(left: list, right: list, text: str, start: int, end: int) -> int | None:
-    """The last place from start to end at which tokens of both lists start after white space and the next AGREE tokens are the same."""
-    ours = {t[0]: k for k, t in enumerate(left) if t[0] >= start}
-    for k in range(len(right) - 1, -1, -1):
-        a = right[k][0]
-        if start < a < end and text[a - 1] in " \n" and a in ours:
-            mine = left[ours[a] : ours[a] + AGREE]
-            if len(mine) == AGREE and mine == right[k : k + AGREE] and mine[-1][1] < end:
-                return a
-    return None
+            for piece, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[piece] = ids = tuple(found.ids)
+                self.size += ROW + len(piece) + 8 * len(ids)
+
+    def tokens(self, piece: str) -> tuple[int, ...]:
+        """The ids of a stretch between white space."""
+        ids = self.known.get(piece)
+        if ids is None:
+            if len(piece) > SHORT:
+                return tuple(self.library.encode(piece, add_special_tokens=False).ids)
+            self.learn([piece])
+            ids = self.known[piece]
+        return ids
+
+    def encoded(self, text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
+        """The tokens of text[start:stop] in order: offset of the stretch that a token is in, its place there, id."""
+        found, at = [], start
+        for piece in text[start:stop].split(" "):
+            if at > start or len(piece) <= SHORT:  # no place in a long stretch that the cut goes through
+                found += [(at, k, i) for k, i in enumerate(self.tokens(piece))]
+            at += len(piece) + 1
+        return found
+
+    def number(self, text: str) -> int:
+        """How many tokens a text has, all stretches of which are encoded."""
+        return sum(map(len, map(self.tokens, text.split(" "))))
+
+    def spliced(self, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> int:
+        """The number of tokens of a text of any length; its white space is spaces."""
+        count, at, n = 0, 0, len(text)
+        while n - at > size:
+            end, width = at + size, overlap
+            while True:
+                stop = min(n, end + width)
+                place = self.common(text, end, stop)
+                if place is not None or stop == n:
+                    break
+                gap = text.find(" ", stop)
+                width = max(2 * width, (n if gap < 0 else gap) + overlap - end)
+            if place is None:
+                break
+            count += self.number(text[at : place - 1])
+            at = place
+        return count + self.number(text[at:])
+
+    def common(self, text: str, end: int, stop: int) -> int | None:
+        """The first place from end to stop at which the tokens of the chunk that goes on to `stop` and those of the chunk from `end` start after white space and the next AGREE are the same."""
+        if text.find(" ", end, stop) < 0:
+            return None
+        left = self.encoded(text, text.find(" ", end - 1) + 1, stop)  # as the left chunk has them, from its first stretch that the cut doesn't go through
+        right = self.encoded(text, end, stop)
+        ours = {t[0]: k for k, t in reversed(list(enumerate(left)))}
+        for k, (a, nth, _) in enumerate(right):
+            if nth == 0 and a > end and text[a - 1] == " " and a in ours:
+                mine = left[ours[a] : ours[a] + AGREE]
+                if len(mine) == AGREE and mine == right[k : k + AGREE] and (stop == len(text) or mine[-1][0] <= text.rfind(" ", end, stop)):
+                    return a
+        return None
+
+    def counts(self, texts: list[str]) -> list[int]:
+        if self.size > KNOWN_BYTES:
+            self.known, self.size = {}, 0
+        texts, fresh = [t.replace("\n", " ") for t in texts], set()
+        for text in texts:
+            for k in range(0, len(text), BATCH):
+                fresh.update(p for p in set(text[k : k + BATCH].split(" ")) - self.known.keys() if len(p) <= SHORT)
+                if len(fresh) * ROW > KNOWN_BYTES // 4:
+                    self.learn(list(fresh - self.known.keys()))
+                    fresh = set()
+        self.learn(list(fresh - self.known.keys()))
+        return [self.spliced(t) for t in texts]
 
 
 _counters: dict[str, Counter] = {}
