@@ -3,17 +3,22 @@
 The pattern splits a text into words; long texts are first cut before a space between two characters that are not white
 space, where a word starts whatever stands before. Words that a worker does not know yet go to DuckDB in batches: a row
 for each word and token position joins the merge table with its right neighbour, and a recursive query contracts the
-leftmost pair of least rank of every word until nothing joins. In words of over LONG bytes, all disjoint occurrences of
-that pair are contracted in one step if no pair with the new token has a lower rank, which gives the same result in
-fewer steps. A second query aggregates the tokens' bytes by position to decode. Words are remembered in a table of
-bounded size, which is emptied when full.
+leftmost pair of least rank of every word until nothing joins. Words of over LONG bytes are contracted in overlapping
+stretches. A row of tokens is the encoding of its bytes exactly if every two neighbours are the encoding of theirs, so
+stretches that have a token in common are spliced at it without any loss: all neighbours stand in one or the other.
+Stretches without one become one stretch. In a stretch that is still longer than LONG, as a long period can make it, all
+disjoint occurrences of the pair are contracted in one step if no pair with the new token has a lower rank, which gives
+the same result in fewer steps. A second query aggregates the tokens' bytes by position to decode. Words of up to LONG
+bytes are remembered in a table of bounded bytes, which is emptied when full.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+from itertools import accumulate
 
 import duckdb
 import numpy as np
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 from strandloom.session import ship
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words that a worker remembers; bytes of words and number of words that go to DuckDB at once; steps of one recursive query.
-KNOWN, BATCH, DECODED, STEPS = 500_000, 1_000_000, 200_000, 48
+#: Bytes that a worker's remembered words may take, about (each takes ROW beside its characters and tokens); bytes of words and number of words that go to DuckDB at once; steps of one recursive query.
+KNOWN_BYTES, ROW, BATCH, DECODED, STEPS = 80_000_000, 250, 400_000, 100_000, 48
 #: Characters of a text that are encoded at once.
 SLAB = 1 << 20
 
@@ -49,8 +54,10 @@ WITH RECURSIVE step(word, toks, k) AS (
 SELECT word, arg_max(toks, k) AS toks FROM step GROUP BY word ORDER BY word
 """
 LONG = 200
+#: A stretch of a longer word starts every STRIDE bytes and has twice as many.
+STRIDE = 32
 
-#: Longer words, up to a number of steps: where it is safe, all disjoint occurrences of the pair of least rank.
+#: Longer stretches, up to a number of steps: where it is safe, all disjoint occurrences of the pair of least rank.
 CONTRACT = """
 WITH RECURSIVE step(word, pos, tok, rank, safe, k) AS (
   SELECT s.word, s.pos, s.tok, m.rank, m.safe, 0
@@ -117,13 +124,16 @@ class Coder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks, self.byte, self.ids, self.bytes = ranks, np.array([ranks[bytes([i])] for i in range(256)], "<u4"), {}, {}
+        self.width = {r: len(t) for t, r in ranks.items()}
         pairs = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int32).reshape(-1, 3)
         least = np.full(max(ranks.values()) + 1, np.iinfo(np.int32).max, np.int32)  # of the pairs that a token is in
         for side in (0, 1):
             np.minimum.at(least, pairs[:, side], pairs[:, 2])
         merges = pa.table({"lhs": pairs[:, 0], "rhs": pairs[:, 1], "rank": pairs[:, 2], "safe": least[pairs[:, 2]] > pairs[:, 2]})
         vocab = pa.table({"tok": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]  # where Spark spills too
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": f"{spill}/duckdb-{os.getpid()}" if spill else ""})
+        self.size = 0
         for name, rows in (("merges", merges), ("vocab", vocab)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -153,6 +163,33 @@ class Coder:
                 lists[i] = toks
         return lists
 
+    def stretched(self, word: bytes) -> bytes:
+        """The token ids of a long word, from overlapping stretches that are spliced at common tokens."""
+        stretches = [(a, min(a + 2 * STRIDE, len(word))) for a in range(0, max(len(word) - STRIDE, 1), STRIDE)]
+        known: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        while True:
+            fresh = list({word[a:b] for a, b in stretches if (a, b) not in known})
+            ids = {}
+            for some in self.batches(fresh):
+                ids.update(zip(some, self.contracted(some), strict=True))
+            for a, b in stretches:
+                if (a, b) not in known:
+                    tokens = np.frombuffer(ids[word[a:b]], "<u4").tolist()
+                    known[a, b] = list(zip(accumulate((self.width[t] for t in tokens[:-1]), initial=a), tokens, strict=True))
+            whole, cuts = [stretches[0]], []
+            for before, now in zip(stretches, stretches[1:], strict=False):
+                places = {t: k for k, t in enumerate(known[now])}
+                cut = next(((k, places[t]) for k, t in enumerate(known[before]) if t in places), None)
+                if cut is None:  # no token in common: one stretch
+                    whole[-1] = (whole[-1][0], now[1])
+                else:
+                    whole.append(now)
+                    cuts.append(cut)
+            if len(whole) == len(stretches):
+                starts, ends = [0, *(r for _, r in cuts)], [*(k for k, _ in cuts), None]
+                return np.array([t for s, a, b in zip(stretches, starts, ends, strict=True) for _, t in known[s][a:b]], "<u4").tobytes()
+            stretches = whole
+
     def batches(self, words: list[bytes]):
         some, size = [], 0
         for w in words:
@@ -168,26 +205,29 @@ class Coder:
         """Remember the ids and the decoded bytes of words."""
         raw = [w.encode() for w in words]
         ids = dict((w, self.ranks[w].to_bytes(4, "little")) for w in raw if w in self.ranks)
-        for some in self.batches([w for w in raw if w not in ids]):
+        for some in self.batches([w for w in raw if w not in ids and len(w) <= LONG]):
             ids.update(zip(some, self.contracted(some), strict=True))
+        ids.update((w, self.stretched(w)) for w in raw if w not in ids)
         ids = [ids[w] for w in raw]
         self.ids.update(zip(words, ids, strict=True))
+        self.size += sum(ROW + 2 * len(w) + len(i) for w, i in zip(raw, ids, strict=True))
         for at in range(0, len(ids), DECODED):
             decoded = self.ask(DECODE, ids[at : at + DECODED])["bytes"].combine_chunks()
             self.bytes.update(zip(words[at : at + DECODED], decoded.to_pylist(), strict=True))
 
     def coded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each text."""
+        if self.size > KNOWN_BYTES:
+            self.ids, self.bytes, self.size = {}, {}, 0
         split = [self.pattern.findall(t) for t in texts]
-        words = set().union(*split)
-        fresh = words - self.ids.keys()
-        if len(self.ids) + len(fresh) > KNOWN:
-            self.ids.clear()
-            self.bytes.clear()
-            fresh = words
+        fresh = list(set().union(*split) - self.ids.keys())
         if fresh:
-            self.learn(list(fresh))
-        return [(b"".join(map(self.ids.__getitem__, ws)), b"".join(map(self.bytes.__getitem__, ws))) for ws in split]
+            self.learn(fresh)
+        found = [(b"".join(map(self.ids.__getitem__, ws)), b"".join(map(self.bytes.__getitem__, ws))) for ws in split]
+        for w in fresh:
+            if len(w) > LONG:
+                self.size -= ROW + 2 * len(self.bytes.pop(w)) + len(self.ids.pop(w))
+        return found
 
 
 def _slabs(text: str):
@@ -225,7 +265,7 @@ def coded(texts: list[str], path: str):
         for slab in _slabs(text or ""):
             waiting.append((i, slab))
             size += len(slab)
-            if size > 4 * SLAB:
+            if size > SLAB:
                 flush()
                 size = 0
     flush()

@@ -29,11 +29,25 @@ def test_counts_equal_the_library(spark, odd, texts):
     assert sorted((repr(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in found) == sorted((repr(r.doc_id), len((r.text or "").encode()), want(r.text), want(r.text) > 2048) for r in odd.collect())
 
 
-@pytest.mark.parametrize(("size", "overlap"), [(400, 4), (2000, 64)])
+@pytest.mark.parametrize(("size", "overlap"), [(400, 4), (50, 1), (2000, 64)])
 def test_spliced_counts_equal_the_library(texts, size, overlap):
     library, count = Tokenizer.from_file(MODEL), tokencount.counter(MODEL)
-    for t in [*texts, "\n".join(texts)]:
-        assert count.spliced(t, size, overlap) == len(library.encode(t, add_special_tokens=False))
+    for t in [*texts, "\n".join(texts), "x" * 3000 + " " + "y" * 500 + " z" * 900]:
+        assert count.spliced(t.replace("\n", " "), size, overlap) == len(library.encode(t, add_special_tokens=False))
+
+
+def test_chunks_are_spliced_and_long_words_are_encoded_once(monkeypatch):
+    count, places, encoded = tokencount.Counter(MODEL), [], []
+    common, tokens = count.common, count.tokens
+    monkeypatch.setattr(count, "common", lambda *a: places.append(common(*a)) or places[-1])
+    monkeypatch.setattr(count, "tokens", lambda p: encoded.append(p) or tokens(p))
+    text = " ".join(random.Random(8).choice(["of", "token", "counts", "resynchronise", "x1"]) for _ in range(2000))
+    assert count.counts([text])[0] == len(count.library.encode(text, add_special_tokens=False))
+    assert len(places) >= len(text) // 1100 and None not in places
+    encoded.clear()
+    long = "q" * 50_000
+    assert count.counts([f"a {long} b"])[0] == len(count.library.encode(f"a {long} b", add_special_tokens=False))
+    assert [len(p) for p in encoded if len(p) > 1000] == [50_000]
 
 
 def wanted(text):
@@ -49,10 +63,19 @@ def test_ids_equal_the_library_and_decode_to_the_text(texts, monkeypatch, slab):
     assert bytebpe.coded(texts, RANKS) == [want(t) for t in texts]
 
 
+def test_long_words():
+    draw = random.Random(5)
+    letters = lambda n, some: "".join(draw.choice(some) for _ in range(n))
+    words = [letters(100_000, "abcdefghijklmnopqrstuvwxyz"), letters(20_000, "ab"), "abc" * 4000, "=" * 5000 + "-" * 3001, letters(500, "xyz") + "ha" * 2000 + letters(500, "xyz"), "é" * 1001, letters(201, "日本語学校")]
+    want = wanted(None)
+    assert bytebpe.coded(words, RANKS) == [want(w) for w in words]
+    assert not any(len(w) > bytebpe.LONG for w in bytebpe.coder(RANKS).ids)
+
+
 def test_a_full_memory_is_emptied(texts, monkeypatch):
     want = wanted(None)
-    monkeypatch.setattr(bytebpe, "KNOWN", 10)
-    monkeypatch.setattr(tokencount, "KNOWN", 10)
+    monkeypatch.setattr(bytebpe, "KNOWN_BYTES", 10)
+    monkeypatch.setattr(tokencount, "KNOWN_BYTES", 10)
     assert [bytebpe.coded([t], RANKS)[0] for t in texts[:12]] == [want(t) for t in texts[:12]]
     assert [tokencount.counter(MODEL).counts([t])[0] for t in texts[:12]] == [len(Tokenizer.from_file(MODEL).encode(t, add_special_tokens=False)) for t in texts[:12]]
 
