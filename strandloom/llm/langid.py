@@ -17,8 +17,8 @@ from strandloom.session import ship
 
 #: Bytes of a segment; units of each direction; segments that run side by side.
 SEGMENT, UNITS, ABREAST = 64, 12, 2048
-#: Labelled documents for each language, how many times as many are drawn before the least hashes are taken, characters taken from each (from a place that its hash decides), steps, segments in a step, seed.
-SAMPLE_DOCS, DRAWN, SAMPLE_CHARS, STEPS, STEP_SEGMENTS, SEED = 300, 8, 300, 300, 192, 7
+#: Labelled documents for each language, how many times as many are drawn before the least hashes are taken, segments of their whole texts for each language, steps, segments in a step, seed.
+SAMPLE_DOCS, DRAWN, SAMPLE_SEGMENTS, STEPS, STEP_SEGMENTS, SEED = 300, 8, 6000, 300, 192, 7
 RATE = 0.02
 #: Up to as many labels are broadcast (a row is under 100 bytes).
 LABELS = 10_000
@@ -138,37 +138,46 @@ class Network:
 
 
 def segmented(text: str) -> np.ndarray:
-    """A sampled text's full segments, or its only one, filled up."""
+    """All segments of a text, the last one filled up."""
     data = text.encode()
-    data = data[: max(len(data) // SEGMENT, 1) * SEGMENT].ljust(SEGMENT, b"\0")
-    return np.frombuffer(data, np.uint8).reshape(-1, SEGMENT)
+    return np.frombuffer(data.ljust(max(-(-len(data) // SEGMENT), 1) * SEGMENT, b"\0"), np.uint8).reshape(-1, SEGMENT)
 
 
 def trained(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Network | None:
     """A network for the labels that occur; None if no document with a letter has one.
 
-    At most SAMPLE_DOCS documents of each label are read, those of least hash. Labels are counted first, and only hashes
-    under a bound that leaves about DRAWN times as many go on, so that what is ranked does not grow with the input. The
-    driver holds one count for each label.
+    At most SAMPLE_DOCS documents of each label are read, those of least hash, with their whole texts; of all their segments,
+    from whatever place, at most SAMPLE_SEGMENTS of each label, those of least hash, are what is learned from. Both bounds are
+    of the sample that the classifier is fitted on. Labels are counted first, and only hashes under a bound that leaves about
+    DRAWN times as many documents go on, so that what is ranked does not grow with the input. The driver holds one count
+    for each label and the segments. Null texts, texts without a letter and null labels teach nothing; rows that repeat an
+    identifier and a text count once for each row. An empty table gives None.
     """
+    ship(docs.sparkSession)
     labelled = docs.filter(F.col(lang_col).isNotNull())
     counts = {r.lang: r.n for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     order = F.xxhash64(F.lit("sample"), F.col(id_col))
     limits = docs.sparkSession.createDataFrame([(x, min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, DRAWN * SAMPLE_DOCS / n)))) for x, n in counts.items()], "lang string, limit_ long")
-    place = F.pmod(F.xxhash64(F.lit("place"), F.col(id_col)), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    part = labelled.select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).alias("part"), place.alias("place"))
+    part = labelled.select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).alias("part"), F.xxhash64(F.col(text_col)).alias("same"))
     part = part.join(F.broadcast(limits) if len(counts) <= LABELS else limits, "lang").filter("order <= limit_").filter(F.col("part").rlike(r"\p{L}"))
-    part = part.select("lang", "order", F.col("part").substr(F.col("place"), F.lit(SAMPLE_CHARS)).alias("part"))
-    least = part.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order", "part"))).filter(F.col("place") <= SAMPLE_DOCS)
-    rows = sorted((r.lang, r.order, r.part) for r in least.select("lang", "order", "part").collect())
+    least = part.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("order", "same"))).filter(F.col("nth") <= SAMPLE_DOCS)
+
+    def cut(batches):
+        for batch in batches:
+            for lang, nth, text in zip(batch.column("lang").to_pylist(), batch.column("nth").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                some = segmented(text)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([nth] * len(some), pa.int32()), pa.array(np.arange(len(some))), pa.array([x.tobytes() for x in some])], ["lang", "nth", "at", "segment"])
+
+    some = least.select("lang", "nth", "part").mapInArrow(cut, "lang string, nth int, at long, segment binary").withColumn("order", F.xxhash64(F.lit("segment"), "nth", "at"))
+    some = some.withColumn("of", F.row_number().over(Window.partitionBy("lang").orderBy("order", "nth", "at"))).filter(F.col("of") <= SAMPLE_SEGMENTS)
+    rows = sorted((r.lang, r.order, r.nth, r["at"], bytes(r.segment)) for r in some.select("lang", "order", "nth", "at", "segment").collect())
     if not rows:
         return None
     network = Network(sorted({r[0] for r in rows}))
     number = {x: k for k, x in enumerate(network.languages)}
-    parts = [segmented(r[2]) for r in rows]
-    network.fit(np.concatenate(parts), np.repeat([number[r[0]] for r in rows], [len(p) for p in parts]))
+    network.fit(np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, SEGMENT), np.array([number[r[0]] for r in rows]))
     return network
 
 

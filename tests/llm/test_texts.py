@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -106,6 +107,76 @@ def test_gradients():
         assert found[k][at] == pytest.approx((up - down) / (2 * e), rel=2e-2, abs=1e-6)
 
 
+def test_a_text_is_read_whole_and_position_by_position():
+    """The network against a plain loop over bytes."""
+    net = langid.Network(["a", "b", "c"], units=3, seed=5)
+    text = ("Zwölf Boxkämpfer jagen Viktor " * 5).encode()[:150]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    sums, letters = np.zeros(3), 0
+    for at in range(0, len(text), langid.SEGMENT):
+        data = text[at : at + langid.SEGMENT].ljust(langid.SEGMENT, b"\0")
+        states = {}
+        for way in "fb":
+            w, u, h = net.weights[f"w{way}"], net.weights[f"u{way}"], np.zeros(3)
+            for t in range(len(data)) if way == "f" else reversed(range(len(data))):
+                x, a = w[:, data[t]], u @ h
+                z, r = sig(x[:3] + a[:3]), sig(x[3:6] + a[3:6])
+                h = z * h + (1 - z) * np.tanh(x[6:] + r * a[6:])
+                states[way, t] = h
+        for t, c in enumerate(data):
+            if langid.LETTER[c]:
+                e = np.exp(net.weights["v"] @ np.concatenate((states["f", t], states["b", t])) + net.weights["c"][:, 0])
+                sums, letters = sums + e / e.sum(), letters + 1
+    assert np.allclose(net.documents([text])[0], sums / letters, atol=1e-5)
+    assert b"".join(x.tobytes() for x in langid.segmented(text.decode())).rstrip(b"\0") == text
+
+
+def test_windows_decide():
+    """spans against a plain version, and that a page's text depends on them."""
+    draw = random.Random(3)
+    for _ in range(300):
+        chars = [draw.choice([3, 20, 100, 700]) for _ in range(draw.randrange(12))]
+        weights = [n * draw.choice([0, 0.2, 0.6, 1]) for n in chars]
+        bar = draw.choice([1, 25, 400])
+        sums = [sum(weights[i : i + 3]) for i in range(len(chars))]
+        live = [s >= 0.5 * sum(chars[i : i + 3]) for i, s in enumerate(sums)]
+        want, i = [False] * len(chars), 0
+        while i < len(chars):
+            k = i
+            while k < len(chars) and live[k]:
+                k += 1
+            dense = [j for j in range(i, k) if weights[j] >= 0.5 * chars[j]]
+            if dense and max(sums[i:k]) >= bar:
+                for j in range(dense[0], dense[-1] + 1):
+                    want[j] = True
+            i = max(k, i + 1)
+        inside, highest = htmltext.spans(np.array(chars, float), np.array(weights, float), bar)
+        assert inside.tolist() == want and highest == max([s for s, x in zip(sums, live, strict=True) if x], default=0.0)
+    plain = "<div>Buy this now, it is cheap today.</div><article><p>" + "word " * 100 + "</p></article><div>" + "x" * 40 + "</div>"
+    assert htmltext.main_text(plain) == ("word " * 100).strip()
+    assert htmltext.main_text("<p>" + "word " * 30 + "</p><ul>" + "<li><a href=1>one more link</a></li>" * 6 + "</ul>") == ("word " * 30).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 20_000 + "x", "<span>" * 20_000 + "</b>" * 20_000, "<b><td>" + "<span>" * 20_000 + "</b>" * 20_000, "<a " * 20_000 + "'", "<p><span>" * 20_000, '<a href="' * 20_000, "<script>" * 20_000, "<!--" * 20_000, "<a" + " =" * 20_000 + "'"],
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - began < 1
+
+
+def test_nothing_else_is_dropped():
+    page = "<article><p>Let <math><mi>x</mi></math> be</p><figure><figcaption>A figure</figcaption></figure><ul><li><a href=1>a link of the text</a></li></ul><h2 id=comments>Comments on x</h2><p id=notice>said</p><noscript>n</noscript><label>l</label></article>"
+    assert htmltext.main_text(page) == "Let x be\nA figure\na link of the text\nComments on x\nsaid\nnl"
+
+
+def test_names_of_results_are_refused(spark):
+    with pytest.raises(ValueError, match="n_chars"):
+        htmltext.extract(spark.createDataFrame([(1, "a", 2)], "page_id long, html string, n_chars int"), keep=["n_chars"])
+
+
 def test_held_out_accuracy(spark, odd, empty):
     docs = spark.createDataFrame(labelled(400, 1), "doc_id long, text string, lang string")
     network = langid.trained(docs.filter(~langid.held_out()))
