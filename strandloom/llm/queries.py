@@ -81,21 +81,31 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op5_chat_format",
-    """WITH calls AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
-            results AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM conversations WHERE role = 'assistant')
-       SELECT c.conv_id, c.turn, CASE WHEN c.role = 'assistant' THEN 'tool' ELSE c.role END AS role,
-              CASE WHEN c.role = 'assistant' THEN c.conv_id || ':' || (c.turn - 1) ELSE c.conv_id || ':' || c.turn END AS call_id,
-              CASE WHEN c.role = 'assistant' AND k.turn IS NOT NULL THEN 1 ELSE 0 END AS depth,
-              coalesce(k.turn, c.turn) AS follows,
-              CASE WHEN c.role = 'assistant' THEN k.turn IS NOT NULL ELSE r.turn IS NOT NULL END AS linked,
-              CASE WHEN c.role = 'assistant' AND k.turn IS NULL THEN NULL ELSE true END AS valid,
-              CASE WHEN c.role = 'assistant'
-                   THEN '{"content":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"role":"tool","tool_call_id":"' || c.conv_id || ':' || (c.turn - 1) || '"}'
-                   ELSE '{"content":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(c.role)::VARCHAR, 'null')
-                        || ',"tool_calls":[{"arguments":{"n_chars":' || length(coalesce(c.text, '')) || ',"turn":' || c.turn || '},"id":"' || c.conv_id || ':' || c.turn || '","name":"reply"}]}' END AS line
-       FROM conversations c
-       LEFT JOIN calls k ON c.role = 'assistant' AND k.conv_id = c.conv_id AND k.turn = c.turn - 1
-       LEFT JOIN results r ON c.role IS DISTINCT FROM 'assistant' AND r.conv_id = c.conv_id AND r.turn = c.turn""",
+    """WITH RECURSIVE
+            said AS (SELECT *, length(coalesce(text, '')) AS n FROM conversations),
+            calls AS (SELECT DISTINCT conv_id, turn, n % 7 <> 0 AND n % 5 <> 0 AS fits FROM said WHERE role IS DISTINCT FROM 'assistant'),
+            results AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM said WHERE role = 'assistant' AND n % 9 <> 0),
+            depths AS (
+              SELECT conv_id, turn, 0 AS d FROM calls c
+              WHERE NOT (turn % 8 >= 2 AND EXISTS (SELECT 1 FROM calls b WHERE b.conv_id = c.conv_id AND b.turn = c.turn - 2))
+              UNION ALL
+              SELECT c.conv_id, c.turn, d.d + 1 FROM depths d JOIN calls c ON c.conv_id = d.conv_id AND c.turn = d.turn + 2 AND c.turn % 8 >= 2),
+            known AS (SELECT c.*, d.d FROM calls c JOIN depths d USING (conv_id, turn))
+       SELECT s.conv_id, s.turn, CASE WHEN s.role = 'assistant' THEN 'tool' ELSE s.role END AS role,
+              CASE WHEN s.role = 'assistant' THEN CASE WHEN s.n % 9 = 0 THEN 'lost:' ELSE '' END || s.conv_id || ':' || (s.turn - 1) ELSE s.conv_id || ':' || s.turn END AS call_id,
+              CASE WHEN s.role = 'assistant' THEN coalesce(2 * k.d + 1, 0) ELSE 2 * o.d END AS depth,
+              coalesce(k.turn, s.turn) AS follows,
+              CASE WHEN s.role = 'assistant' THEN k.turn IS NOT NULL ELSE r.turn IS NOT NULL END AS linked,
+              CASE WHEN s.role = 'assistant' THEN k.fits ELSE o.fits END AS valid,
+              '{"content":' || coalesce(to_json(s.text)::VARCHAR, 'null') || CASE WHEN s.role = 'assistant'
+                THEN ',"role":"tool","tool_call_id":"' || CASE WHEN s.n % 9 = 0 THEN 'lost:' ELSE '' END || s.conv_id || ':' || (s.turn - 1) || '"}'
+                ELSE ',"role":' || coalesce(to_json(s.role)::VARCHAR, 'null') || ',"tool_calls":[{' || CASE WHEN s.turn % 8 >= 2 THEN '"after":["' || s.conv_id || ':' || (s.turn - 2) || '"],' ELSE '' END
+                     || '"arguments":' || CASE WHEN s.n % 7 = 0 THEN '"turn=' || s.turn || '"' WHEN s.n % 5 = 0 THEN '{"n_chars":' || s.n || ',"turn":"' || s.turn || '"}' ELSE '{"n_chars":' || s.n || ',"turn":' || s.turn || '}' END
+                     || ',"id":"' || s.conv_id || ':' || s.turn || '","name":"reply"}]}' END AS line
+       FROM said s
+       LEFT JOIN known k ON s.role = 'assistant' AND s.n % 9 <> 0 AND k.conv_id = s.conv_id AND k.turn = s.turn - 1
+       LEFT JOIN known o ON s.role IS DISTINCT FROM 'assistant' AND o.conv_id = s.conv_id AND o.turn = s.turn
+       LEFT JOIN results r ON s.role IS DISTINCT FROM 'assistant' AND r.conv_id = s.conv_id AND r.turn = s.turn""",
 )
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.format_chats(chat.as_calls(table(spark, sf_dir, "conversations")), chat.SCHEMAS)

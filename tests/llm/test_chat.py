@@ -38,6 +38,26 @@ def test_linking_order_and_validation(spark):
     assert json.loads(at["c1", 1].line) == {"content": 'He said "hi"\n\tand left', "role": "user"} and json.loads(at[None, None].line)["content"] == "{not json"
 
 
+def test_nothing_is_lost_and_numbers_have_one_form(spark):
+    wrong = json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": "a=1", "why": [1, {"z": 1, "b": None}]}, {"id": "b", "name": "add", "arguments": '{"b":1e2,"a":1.0}'}], "content": {"k": [1]}, "name": "me", "role": "other"})
+    numbers = '{"tool_call_id":"a","content":[1.0,1e2,1.50,1.5e0,12345678.9,1.23456789e7,10000000,1e7,-0.0,1e-7,0.0000001,"1.0 and 1E5","q\\" 2.0",123456789012345678901234567890],"extra":{"b":1,"a":2.0}}'
+    twice = '{"tool_calls":[{"id":"x","id":"y"}]}'
+    rows = [(1, 0, "assistant", wrong), (1, 1, "tool", numbers), (1, 2, None, json.dumps({"tool_calls": [call("n", "find", {"q": "x" * 20_000})]})), (1, 3, "user", twice), (1, 4, "tool", json.dumps({"tool_call_id": "b"})), (1, 5, "user", "word " * 40_000)]
+    found = {r.turn: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), SCHEMAS).collect()}
+    assert found[0].line == '{"content":{"k":[1]},"name":"me","role":"assistant","tool_calls":[{"arguments":"a=1","id":"a","name":"add","why":[1,{"b":null,"z":1}]},{"arguments":{"a":1,"b":100},"id":"b","name":"add"}]}'
+    assert (found[0].valid, found[0].linked, found[1].follows, found[4].depth) == (False, True, 0, 1)
+    assert found[1].line == '{"content":[1,100,1.5,1.5,12345678.9,12345678.9,10000000,10000000,0,0.0000001,0.0000001,"1.0 and 1E5","q\\" 2.0",123456789012345678901234567890],"extra":{"a":2,"b":1},"role":"tool","tool_call_id":"a"}'
+    assert found[2].call_ids == ["n"] and found[2].line.startswith('{"content":null,"role":null,"tool_calls":[{"arguments":{"q":"xxx') and found[2].valid is False
+    assert json.loads(found[3].line) == {"content": twice, "role": "user"} and json.loads(found[4].line)["content"] is None
+    assert json.loads(found[5].line)["content"] == "word " * 40_000
+
+
+def test_the_plan_is_native_and_hashes(spark):
+    rows = [(1, 0, "user", "a")] * 3 + [(1, 1, "assistant", "b")] * 2
+    plan = chat.format_chats(chat.as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), chat.SCHEMAS)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "shuffle_hash" in plan
+
+
 def test_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(chat.as_calls(empty), chat.SCHEMAS).count() == 0
