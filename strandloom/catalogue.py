@@ -310,7 +310,7 @@ def read_steps(spark, d):
 @query("node_coverage", f"WITH {INDEXED} SELECT node_id, coalesce(n, 0)::DOUBLE AS cov, length(seq) - {INDEX_K} + 1 AS mlen FROM unitigs LEFT JOIN (SELECT abs(node) AS node_id, count(*) AS n FROM hits GROUP BY 1) USING (node_id)")
 def node_coverage(spark, d):
     nodes = unitig_nodes(spark, d)
-    cov = C.cov_count(reads(spark, d), nodes, unitig_arcs(spark, d), INDEX_K)[0]
+    cov = C.node_sums(C.hits(reads(spark, d), C.kmer_index(nodes, INDEX_K), INDEX_K))
     return nodes.join(cov, "node_id", "left").select("node_id", F.coalesce("cov", F.lit(0.0)).alias("cov"), S.marginal_length(F.col("seq"), INDEX_K).cast("long").alias("mlen"))
 
 

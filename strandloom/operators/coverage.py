@@ -18,24 +18,39 @@ BROADCAST_ROWS = 200_000
 
 def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
     """(kmer, node_id, pos, same, mlen): where each canonical k-mer of the nodes lies; same says whether the node has it in canonical form. Of several places the smallest counts."""
-    found = K.kmer_offsets(nodes.select(F.col("node_id").alias("read_id"), "seq"), k)
-    canon = S.canonical(F.col("kmer"))
-    first = found.select(canon.alias("kmer"), F.struct(F.col("read_id").alias("node_id"), F.col("offset").alias("pos"), (canon == F.col("kmer")).alias("same")).alias("place")).groupBy("kmer").agg(F.min("place").alias("place"))
+    given = nodes.select(F.col("node_id").alias("read_id"), "seq")
+    place = lambda same: F.struct(F.col("read_id").alias("node_id"), F.col("offset").alias("pos"), same.alias("same")).alias("place")
+    if k <= K.PACKED:
+        found = K.packed_offsets(given, k).select(S.unpack(F.col("code"), k).alias("kmer"), place(F.col("same")))
+    else:
+        canon = S.canonical(F.col("kmer"))
+        found = K.kmer_offsets(given, k).select(canon.alias("kmer"), place(canon == F.col("kmer")))
+    first = found.groupBy("kmer").agg(F.min("place").alias("place"))
     return first.select("kmer", "place.*").join(nodes.select("node_id", S.marginal_length(F.col("seq"), k).alias("mlen")), "node_id")
 
 
 def hits(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(read_id, offset, node, pos, mlen): k-mers of reads found in the graph, as places on signed nodes.
 
-    The index is turned to both strands, so that reads' windows are joined as they are. It is written first; with up to
-    BROADCAST_ROWS rows (of about 100 bytes) it is broadcast, and only hits are shuffled afterwards.
+    The index is written first; with up to BROADCAST_ROWS rows (of about 100 bytes) it is broadcast, and only hits are
+    shuffled afterwards. Packed windows meet it in canonical form; for longer ones it is turned to both strands, so that reads'
+    windows are joined as they are.
     """
     place = lambda ahead: (F.when(ahead, F.col("node_id")).otherwise(-F.col("node_id")).alias("node"), F.when(ahead, F.col("pos")).otherwise(F.col("mlen") - 1 - F.col("pos")).alias("pos"), F.col("mlen"))
-    back = index.filter(S.revcomp(F.col("kmer")) != F.col("kmer"))
-    both = index.select("kmer", *place(F.col("same"))).unionByName(back.select(S.revcomp(F.col("kmer")).alias("kmer"), *place(~F.col("same"))))
+    if k <= K.PACKED:
+        both, windows, key = index.select(S.pack(F.col("kmer")).alias("code"), F.col("same").alias("own"), "node_id", "pos", "mlen"), K.packed_offsets(reads, k), "code"
+    else:
+        back = index.filter(S.revcomp(F.col("kmer")) != F.col("kmer"))
+        both = index.select("kmer", *place(F.col("same"))).unionByName(back.select(S.revcomp(F.col("kmer")).alias("kmer"), *place(~F.col("same"))))
+        windows, key = K.kmer_offsets(reads, k), "kmer"
     both = stored(both, "index")
-    small = both.count() <= BROADCAST_ROWS
-    return K.kmer_offsets(reads, k).join(F.broadcast(both) if small else both, "kmer").select("read_id", "offset", "node", "pos", "mlen")
+    found = windows.join(F.broadcast(both) if both.count() <= BROADCAST_ROWS else both, key)
+    return found.select("read_id", "offset", *(place(F.col("same") == F.col("own")) if key == "code" else ("node", "pos", "mlen")))
+
+
+def node_sums(hit: DataFrame) -> DataFrame:
+    """(node_id, cov): how many k-mers of reads lie on each node, without looking at their neighbours."""
+    return hit.groupBy(F.abs("node").alias("node_id")).agg(F.count(F.lit(1)).cast("double").alias("cov"))
 
 
 def steps(hit: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -55,9 +70,9 @@ def cov_count(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, use_q
     """Sums over all reads: (node_id, cov), (node_id, pos, n), (src, dst, cov) with zeros for arcs that no read crosses, and (node_id, pos, n) for the step after pos.
 
     With qualities (reads.qual) a node's and an arc's coverage adds the probability that all bases of the window are
-    right; counts by position are never weighted. Places are on the forward strand.
+    right; counts by position are never weighted. Places are on the forward strand. Steps are written once, for all sums.
     """
-    step = steps(hits(reads, kmer_index(nodes, k), k), arcs)
+    step = stored(steps(hits(reads, kmer_index(nodes, k), k), arcs), "steps")
     weight, arc_weight = F.lit(1.0), F.lit(1.0)
     if use_qual:
         scores = reads.select("read_id", S.qual_scores(F.col("qual")).alias("scores"))

@@ -1,12 +1,22 @@
-"""k-mers of reads: windows, canonical counts, spectra, arcs from (k+1)-mers, unitigs."""
+"""k-mers of reads: windows, canonical counts, spectra, arcs from (k+1)-mers, unitigs.
+
+Up to PACKED bases a window is a number of two bits a base, rolled over whole batches of reads in a few vectorised steps;
+numbers of one length are ordered as their strings are, so the canonical one is the least of two numbers, and keys that are
+shuffled have 8 bytes. Longer windows are strings.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.session import ship
 
+#: Bases of a window that fit a signed 64-bit number; bases that are rolled at once.
+PACKED, SLAB = 31, 1 << 21
 #: Bases of a piece of a long read; pieces overlap by k - 1.
 PIECE = 4096
 
@@ -28,8 +38,92 @@ def kmer_offsets(reads: DataFrame, k: int) -> DataFrame:
     return found.filter(S.is_acgt(F.col("kmer"))).select("read_id", (F.col("start") + F.col("place")).alias("offset"), "kmer")
 
 
+CODES = np.full(256, 4, np.uint8)
+CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+
+def rolled(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of k bases (as bytes) as numbers, their reverse complements, and which of them have no letter but ACGT. Windows of 2, 4, 8 ... bases are put together from their halves."""
+    n = len(bases) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    codes = CODES[bases]
+    bad = np.concatenate(([0], np.cumsum(codes > 3)))
+    ahead, back, size = (codes & 3).astype(np.int64), (3 - (codes & 3)).astype(np.int64), 1
+    whole, done = None, 0
+    while True:
+        if k & size:  # these bases come after those done
+            m = len(bases) - done - size + 1
+            a, b = ahead[done : done + m], back[done : done + m]
+            whole = (a, b) if whole is None else ((whole[0][:m] << 2 * size) | a, (b << 2 * done) | whole[1][:m])
+            done += size
+        if done == k:
+            return whole[0], whole[1], bad[k:] == bad[:-k]
+        ahead, back = (ahead[:-size] << 2 * size) | ahead[size:], (back[size:] << 2 * size) | back[:-size]
+        size *= 2
+
+
+def slabs(column: pa.Array, k: int):
+    """Reads of a batch, about SLAB bases at a time: bases, with an N after every read, the reads' numbers, their starts, and the offset of the first read's part. Long reads are cut into parts that overlap by k - 1."""
+    data, reads, starts, first, size = [], [], [], 0, 0
+    for i, seq in enumerate(column.to_pylist()):
+        seq, at = (seq or "").encode("ascii", "replace"), 0
+        while len(seq) - at >= k:
+            part = seq[at : at + SLAB]
+            if not data:
+                first = at
+            data.append(part)
+            reads.append(i)
+            starts.append(size)
+            size += len(part) + 1
+            at += len(part) - k + 1
+            if size >= SLAB:
+                yield np.frombuffer(b"N".join(data), np.uint8), reads, starts, first
+                data, reads, starts, size = [], [], [], 0
+            if len(part) < SLAB:
+                break
+    if data:
+        yield np.frombuffer(b"N".join(data), np.uint8), reads, starts, first
+
+
+def packed_counts(reads: DataFrame, k: int) -> DataFrame:
+    """(code, n): canonical k-mers of up to PACKED bases as numbers, added up before the shuffle."""
+    ship(reads.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for bases, *_ in slabs(batch.column("seq"), k):
+                ahead, back, good = rolled(bases, k)
+                codes, n = np.unique(np.minimum(ahead, back)[good], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
+
+    return reads.select("seq").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def packed_offsets(reads: DataFrame, k: int) -> DataFrame:
+    """(read_id, offset, code, same): canonical k-mers of up to PACKED bases as numbers, and whether the read has them in canonical form."""
+    ship(reads.sparkSession)
+    given = reads.select("read_id", "seq")
+
+    def run(batches):
+        for batch in batches:
+            for bases, who, starts, first in slabs(batch.column("seq"), k):
+                ahead, back, good = rolled(bases, k)
+                at = np.flatnonzero(good)
+                starts = np.array(starts)
+                read = np.searchsorted(starts, at, "right") - 1
+                offset = at - starts[read] + np.where(read == 0, first, 0)
+                ids = batch.column("read_id").take(pa.array(np.array(who)[read]))
+                ahead, back = ahead[at], back[at]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(offset.astype(np.int32)), pa.array(np.minimum(ahead, back)), pa.array(ahead <= back)], ["read_id", "offset", "code", "same"])
+
+    return given.mapInArrow(run, f"read_id {given.schema['read_id'].dataType.simpleString()}, offset int, code long, same boolean")
+
+
 def canonical_counts(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, n): canonical k-mers and how often they occur on either strand. Equal windows are added up before the reverse complement is taken and again before the shuffle."""
+    """(kmer, n): canonical k-mers and how often they occur on either strand. Equal windows are added up before the reverse complement is taken (if they are strings) and again before the shuffle."""
+    if k <= PACKED:
+        return packed_counts(reads, k).select(S.unpack(F.col("code"), k).alias("kmer"), "n")
     forward = kmers(reads, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
     return forward.groupBy(S.canonical(F.col("kmer")).alias("kmer")).agg(F.sum("n").alias("n"))
 

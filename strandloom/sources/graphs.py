@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as S
 from strandloom.operators.graph import both_strands
 from strandloom.operators.model import CovModel
+from strandloom.sources.fastq import fasta_records
 
 
 def read_unitigs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, seq, kc) and arcs (src, dst, cov) of a unitig FASTA: `>id LN:i:n KC:i:n km:f:x L:<+|->:<id>:<+|-> ...` and one line of sequence. File ids count from 0, node ids from 1. Sequences of other letters than ACGT are an error."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    records = fasta_records(spark, path)
     lines = F.split(F.rtrim("value"), "\r?\n")
     rows = records.select(F.element_at(lines, 1).alias("head"), F.element_at(lines, 2).alias("seq"))
     node = (F.regexp_extract("head", r"^(\d+)", 1).cast("int") + 1).alias("node_id")
