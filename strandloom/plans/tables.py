@@ -27,21 +27,23 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: lineage ends there, and losing an executor loses nothing.
-
-    The tables of an application lie in one folder, which goes when the application ends; `forget` removes a table before.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    folder = f"{shared_dir(spark)}/strandloom-{spark.sparkContext.applicationId}"
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the application's folder, which goes when the application ends."""
     context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/strandloom-{context.applicationId}"
     if getattr(context, "_strandloom_folder", None) != folder:
         path, system = _file_system(spark, folder)
         system.mkdirs(path)
         system.deleteOnExit(path)
         context._strandloom_folder = folder
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """df, written once as Parquet in the application's folder and read again: lineage ends there, and losing an executor loses nothing. `forget` removes the table."""
+    spark = df.sparkSession
+    ship(spark)
+    path = place(spark, label)
     df.write.option("compression", compression).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._strandloom_path = path
