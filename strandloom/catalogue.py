@@ -264,18 +264,12 @@ def neighbourhood(spark, d):
 
 @query(
     "components",
-    f"""WITH RECURSIVE {UNITIGS}, pairs AS (SELECT user_id AS a, event_id % 1000 + 100000 AS b FROM events WHERE event_id % 10 = 0),
-        e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), nodes AS (SELECT DISTINCT a AS node FROM e),
-        walk(node, seen) AS (SELECT node, node FROM nodes UNION SELECT w.node, e.b FROM walk w JOIN e ON e.a = w.seen)
-        SELECT node, min(seen) AS component FROM walk GROUP BY 1""",
+    """WITH RECURSIVE pairs AS (SELECT DISTINCT user_id AS a, event_id % 1000 + 100000 AS b FROM events),
+        e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT a, a FROM pairs UNION SELECT b, b FROM pairs),
+        l(node, label, k) AS (SELECT DISTINCT a, a, 0 FROM e UNION ALL SELECT e.b, min(l.label), l.k + 1 FROM l JOIN e ON e.a = l.node WHERE l.k < 24 GROUP BY e.b, l.k)
+        SELECT node, min(label) AS component FROM l GROUP BY 1""",
 )
 def components(spark, d):
-    return G.components(table(spark, d, "events").filter("event_id % 10 = 0").select(F.col("user_id").alias("a"), (F.col("event_id") % 1000 + 100000).alias("b")))
-
-
-@query("event_components")
-def event_components(spark, d):
-    """As components, over all events; the recursive SQL of that query walks all pairs of a component, so this one has none."""
     return G.components(table(spark, d, "events").select(F.col("user_id").alias("a"), (F.col("event_id") % 1000 + 100000).alias("b")))
 
 

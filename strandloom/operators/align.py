@@ -49,10 +49,9 @@ class Alignment:
         return "\n".join(map("".join, (top, mid, low)))
 
 
-def _table(a: str, b: str, scores: Scores, band: int | None, free_start: bool = False) -> np.ndarray:
+def _table(a: str, b: str, scores: Scores, free_start: bool = False) -> np.ndarray:
     n, m = len(a), len(b)
-    low = -(1 << 40)
-    t = np.full((n + 1, m + 1), low, np.int64)
+    t = np.empty((n + 1, m + 1), np.int64)
     codes_b = np.frombuffer(b.encode(), np.uint8)
     columns = np.arange(m + 1)
     t[0] = 0 if free_start else columns * scores.gap
@@ -62,9 +61,6 @@ def _table(a: str, b: str, scores: Scores, band: int | None, free_start: bool =
         row[1:] = np.maximum(row[1:], t[i - 1, :-1] + np.where(same, scores.match, scores.mismatch))
         # gaps along the row: the running maximum of row minus its gap cost
         row = np.maximum.accumulate(row - columns * scores.gap) + columns * scores.gap
-        if band is not None:
-            row[np.abs(columns - i) > band] = low
-            row = np.where(np.abs(columns - i) > band, low, row)
         t[i] = row
     return t
 
@@ -89,23 +85,54 @@ def _trace(t: np.ndarray, a: str, b: str, scores: Scores, i: int, j: int, free_s
 def align(a: str, b: str, scores: Scores | None = None) -> Alignment:
     """Global alignment."""
     scores = scores or Scores()
-    t = _table(a, b, scores, None)
+    t = _table(a, b, scores)
     return Alignment(int(t[-1, -1]), _trace(t, a, b, scores, len(a), len(b)), len(a), len(b))
 
 
+def _band_table(a: str, b: str, scores: Scores, band: int) -> np.ndarray:
+    """The table of a global alignment between the diagonals -band and band: column c of row i is place i - band + c of b."""
+    n, m, low, width = len(a), len(b), -(1 << 40), 2 * band + 1
+    codes = np.frombuffer(b.encode(), np.uint8)
+    t = np.full((n + 1, width), low, np.int64)
+    cost = np.arange(width) * scores.gap
+    t[0, band : band + min(band, m) + 1] = np.arange(min(band, m) + 1) * scores.gap
+    for i in range(1, n + 1):
+        j = np.arange(i - band, i + band + 1)
+        inside = (j >= 1) & (j <= m)
+        before = codes[np.clip(j - 1, 0, max(m - 1, 0))] if m else np.zeros(width, np.uint8)
+        same = (before == ord(a[i - 1])) | (before == ord("N")) | (a[i - 1] == "N")
+        row = np.where(inside, t[i - 1] + np.where(same, scores.match, scores.mismatch), low)
+        row[:-1] = np.maximum(row[:-1], t[i - 1, 1:] + scores.gap)
+        row = np.maximum.accumulate(row - cost) + cost
+        t[i] = np.where((j >= 0) & (j <= m), np.maximum(row, low), low)
+    return t
+
+
 def align_banded(a: str, b: str, band: int, scores: Scores | None = None) -> Alignment:
-    """Global alignment with at most `band` more bases of one than of the other on the way; longer differences are an error."""
+    """Global alignment with at most `band` more bases of one than of the other on the way; longer differences are an error. Memory follows the length times the band."""
     scores = scores or Scores()
     if abs(len(a) - len(b)) > band:
         raise ValueError("the lengths differ by more than the band")
-    t = _table(a, b, scores, band)
-    return Alignment(int(t[-1, -1]), _trace(t, a, b, scores, len(a), len(b)), len(a), len(b))
+    t = _band_table(a, b, scores, band)
+    at = lambda i, j: int(t[i, j - i + band]) if abs(j - i) <= band else -(1 << 40)
+    steps, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and at(i, j) == at(i - 1, j - 1) + scores.of(a[i - 1], b[j - 1]):
+            steps.append("M" if scores.of(a[i - 1], b[j - 1]) == scores.match else "X")
+            i, j = i - 1, j - 1
+        elif i and at(i, j) == at(i - 1, j) + scores.gap:
+            steps.append("D")
+            i -= 1
+        else:
+            steps.append("I")
+            j -= 1
+    return Alignment(at(len(a), len(b)), "".join(reversed(steps)), len(a), len(b))
 
 
 def align_free_end(a: str, b: str, scores: Scores | None = None, both: bool = True) -> Alignment:
     """From both starts; what is left of the second (both: of either) at the end costs nothing."""
     scores = scores or Scores()
-    t = _table(a, b, scores, None)
+    t = _table(a, b, scores)
     i, j = len(a), int(t[-1].argmax())
     if both and t[:, -1].max() > t[i, j]:
         i, j = int(t[:, -1].argmax()), len(b)
@@ -115,7 +142,7 @@ def align_free_end(a: str, b: str, scores: Scores | None = None, both: bool = Tr
 def align_overlap(a: str, b: str, scores: Scores | None = None) -> Alignment:
     """The end of the second against the start of the first: the second's start and the first's end are free."""
     scores = scores or Scores()
-    t = _table(a, b, scores, None, free_start=True)
+    t = _table(a, b, scores, free_start=True)
     i = int(t[:, -1].argmax())
     return Alignment(int(t[i, -1]), _trace(t, a, b, scores, i, len(b), free_start=True), i, len(b))
 
