@@ -49,6 +49,14 @@ def n_words(text) -> F.Column:
     return F.when(spaced == "", F.lit(0)).otherwise(F.size(F.split(spaced, " +"))).cast("long")
 
 
+def sliced(batches, size: int = 2_000_000):
+    """Arrow batches in slices whose buffers hold about `size` bytes, so that a worker's memory follows neither the number of a batch's rows nor their length."""
+    for batch in batches:
+        step = max(1, int(len(batch) * min(1.0, size / max(batch.nbytes, 1))))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, parts: int = 10_000) -> DataFrame:
     """Inner join of left with right, which has one row per key and in column n the number of left's rows with that key.
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm import common
 from strandloom.session import ship
 
 #: Lines in a window; characters by which a window surges; the part of its characters that a live window's sum has.
@@ -172,7 +173,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
         raise ValueError(f"columns of the result: {sorted(clash)}")
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = [main_text(page) for page in batch.column("html__").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*batch.schema.names[:-1], "text", "n_chars"])
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm import common
 from strandloom.session import ship
 
 #: Bytes of a segment; units of each direction; segments that run side by side.
@@ -213,7 +214,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     column = given.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = [t or "" for t in batch.column(column).to_pylist()]
             known = [k for k, t in enumerate(texts) if network is not None and any(c.isalpha() for c in t)]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
