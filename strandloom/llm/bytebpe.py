@@ -9,7 +9,7 @@ stretches that have a token in common are spliced at it without any loss: all ne
 Stretches without one become one stretch. In a stretch that is still longer than LONG, as a long period can make it, all
 disjoint occurrences of the pair are contracted in one step if no pair with the new token has a lower rank, which gives
 the same result in fewer steps. A second query aggregates the tokens' bytes by position to decode. Words of up to LONG
-bytes are remembered in a table of bounded bytes, which is emptied when full.
+bytes are remembered in two tables of bounded bytes: when the newer is full, it becomes the older, of which only what is met again is kept.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm import common
 from strandloom.session import ship
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes that a worker's remembered words may take, about (each takes ROW beside its characters and tokens); bytes of words and number of words that go to DuckDB at once; steps of one recursive query.
 KNOWN_BYTES, ROW, BATCH, DECODED, STEPS = 80_000_000, 250, 400_000, 100_000, 48
-#: Characters of a text that are encoded at once.
-SLAB = 1 << 20
+#: Characters of a piece of a text, and of texts that are encoded at once; bytes of a slice of a batch.
+SLAB, BATCH_CHARS, SLICE = 1 << 20, 3_000_000, 8_000_000
 
 CHUNK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -133,7 +134,7 @@ class Coder:
         vocab = pa.table({"tok": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
         spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]  # where Spark spills too
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": f"{spill}/duckdb-{os.getpid()}" if spill else ""})
-        self.size = 0
+        self.size, self.old = 0, ({}, {})
         for name, rows in (("merges", merges), ("vocab", vocab)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -217,12 +218,17 @@ class Coder:
 
     def coded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each text."""
-        if self.size > KNOWN_BYTES:
-            self.ids, self.bytes, self.size = {}, {}, 0
+        if self.size > KNOWN_BYTES // 2:  # what isn't met again before the next time is forgotten then
+            self.old, self.ids, self.bytes, self.size = (self.ids, self.bytes), {}, {}, 0
         split = [self.pattern.findall(t) for t in texts]
-        fresh = list(set().union(*split) - self.ids.keys())
+        fresh = {w for w in set().union(*split) if w not in self.ids}
+        ids, bytes_ = self.old
+        for w in [w for w in fresh if w in ids]:
+            self.ids[w], self.bytes[w] = ids[w], bytes_[w]
+            self.size += ROW + 2 * len(w) + len(ids[w])
+            fresh.remove(w)
         if fresh:
-            self.learn(fresh)
+            self.learn(list(fresh))
         found = [(b"".join(map(self.ids.__getitem__, ws)), b"".join(map(self.bytes.__getitem__, ws))) for ws in split]
         for w in fresh:
             if len(w) > LONG:
@@ -265,7 +271,7 @@ def coded(texts: list[str], path: str):
         for slab in _slabs(text or ""):
             waiting.append((i, slab))
             size += len(slab)
-            if size > SLAB:
+            if size > BATCH_CHARS:
                 flush()
                 size = 0
     flush()
@@ -284,7 +290,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches, SLICE):
             found = coded(batch.column("text").to_pylist(), path)
             n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "same", "n_tokens", "ids_sha256", "decoded_sha256"])
