@@ -5,7 +5,8 @@ mostly inside a word; where both chunks start a token after white space and agre
 are resynchronised: white space is in no token of this kind of tokenizer and decides nothing about what follows it, so
 that place is a proven stable boundary, and the chunks are spliced there. If an overlap has no such place it is widened,
 at least to the next white space, and what is known of it is not encoded again: a worker remembers the tokens of short
-stretches between white space in a table of bounded bytes, which is emptied when full. Longer stretches are encoded by
+stretches between white space in two tables of bounded bytes: when the newer is full, it becomes the older, of which
+only what is met again is kept. Longer stretches are encoded by
 the library where they are met.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from strandloom.llm import common
 from strandloom.session import ship
 
 MODEL = "word_bpe_49k.json"
@@ -32,7 +34,7 @@ class Counter:
     """Counts tokens without begin, end or added special tokens; special strings in a text are what the library makes of them."""
 
     def __init__(self, path: str):
-        self.library, self.known, self.size = Tokenizer.from_file(path), {}, 0
+        self.library, self.known, self.old, self.size = Tokenizer.from_file(path), {}, {}, 0
         self.library.no_truncation()
         self.library.no_padding()
 
@@ -44,13 +46,23 @@ class Counter:
                 self.known[piece] = ids = tuple(found.ids)
                 self.size += ROW + len(piece) + 8 * len(ids)
 
+    def found_again(self, piece: str) -> bool:
+        """Whether the older table has a stretch, which then goes to the newer one."""
+        ids = self.old.get(piece)
+        if ids is None:
+            return False
+        self.known[piece] = ids
+        self.size += ROW + len(piece) + 8 * len(ids)
+        return True
+
     def tokens(self, piece: str) -> tuple[int, ...]:
         """The ids of a stretch between white space."""
         ids = self.known.get(piece)
         if ids is None:
             if len(piece) > SHORT:
                 return tuple(self.library.encode(piece, add_special_tokens=False).ids)
-            self.learn([piece])
+            if not self.found_again(piece):
+                self.learn([piece])
             ids = self.known[piece]
         return ids
 
@@ -100,16 +112,16 @@ class Counter:
         return None
 
     def counts(self, texts: list[str]) -> list[int]:
-        if self.size > KNOWN_BYTES:
-            self.known, self.size = {}, 0
+        if self.size > KNOWN_BYTES // 2:  # what isn't met again before the next time is forgotten then
+            self.old, self.known, self.size = self.known, {}, 0
         texts, fresh = [t.replace("\n", " ") for t in texts], set()
         for text in texts:
             for k in range(0, len(text), BATCH):
-                fresh.update(p for p in set(text[k : k + BATCH].split(" ")) - self.known.keys() if len(p) <= SHORT)
+                fresh.update(p for p in set(text[k : k + BATCH].split(" ")) if len(p) <= SHORT and p not in self.known and not self.found_again(p))
                 if len(fresh) * ROW > KNOWN_BYTES // 4:
-                    self.learn(list(fresh - self.known.keys()))
+                    self.learn(list(fresh))
                     fresh = set()
-        self.learn(list(fresh - self.known.keys()))
+        self.learn(list(fresh))
         return [self.spliced(t) for t in texts]
 
 
@@ -133,7 +145,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
     def run(batches):
         count = counter(path)
-        for batch in batches:
+        for batch in common.sliced(batches, 8_000_000):
             texts, found, some, size = [t or "" for t in batch.column("text").to_pylist()], [], [], 0
             for text in texts:
                 some.append(text)
