@@ -61,7 +61,7 @@ def simhash(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprinted(batches):
-    for batch in batches:
+    for batch in common.sliced(batches):
         prints = [simhash(text) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(prints, pa.int64())], ["doc_id", "same", "fp"])
 
@@ -103,15 +103,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same"))
     prints = common.stored(rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "prints")
-    roots = common.stored(connected_components(links(prints)).select(F.col("node").alias("fp"), "root"), "roots")
+    roots = connected_components(links(prints)).select(F.col("node").alias("fp"), "root")
     least = prints.join(roots, "fp").groupBy("root").agg(F.min("first").alias("least"))
     found = prints.join(roots.join(least, "root").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("least"))
     found = common.stored(found, "components")
     return common.join_counted(rows, found, "fp", "n", rows.count()).select("doc_id", "fp", "same", F.col("least.doc_id").alias("component_id"), F.col("least.same").alias("keep_same"))
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one of smallest identifier. Rows that repeat its identifier and text are left out too; other columns are unchanged."""
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unfolded: bool = False) -> DataFrame:
+    """docs with one row of each component: the one of smallest identifier. Rows that repeat its identifier and text are left out too; other columns are unchanged, whatever their names.
+
+    Components are those of `near_duplicates`, or with `unfolded` those of texts whose sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more (see `nearcopies`), for which 64-bit fingerprints are too short. Nulls, empty and
+    very long texts and ties are treated as there; an empty table gives an empty result.
+    """
+    if unfolded:
+        from strandloom.llm import nearcopies
+
+        return nearcopies.without_near_copies(docs, id_col, text_col)
     found = near_duplicates(docs, id_col, text_col)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("same") == F.col("keep_same"))).groupBy("doc_id", "same").agg(F.count(F.lit(1)).alias("n"))
     return common.chosen(docs, common.stored(stay, "stay"), id_col, text_col)

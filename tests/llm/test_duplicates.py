@@ -96,7 +96,9 @@ def test_links_lose_no_pair(spark, monkeypatch, pairs):
     assert groups(a) == groups(b)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("last", [0, 40, 200_000])
+def test_components_of_a_long_path(spark, monkeypatch, last):
+    monkeypatch.setattr("strandloom.llm.components.LAST", last)
     edges = spark.range(60).select((F.col("id") * 7 % 61).alias("a"), ((F.col("id") + 1) * 7 % 61).alias("b"))
     found = connected_components(edges.union(spark.createDataFrame([(1000, 1001), (5000, 5000)], "a long, b long")))
     assert len({r.root for r in found.collect()}) == 3 and found.count() == 64

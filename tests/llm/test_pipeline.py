@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline as P
-from strandloom.llm import common, langid, mixing
-from strandloom.llm.simhash import simhash
+from strandloom.llm import common, langid
+from tests.llm.test_layout import targets
+from tests.llm.test_nearcopies import kept as least_of_near_copies
 from tests.llm.test_texts import labelled
 from tests.llm.test_tokens import wanted
 
@@ -29,28 +30,19 @@ def test_stages(spark, documents):
             assert docs.columns == documents.columns
     ids = lambda name: sorted(r.doc_id for r in kept[name])
     network = langid.trained(documents.filter(~langid.held_out()))
-    want = [r.doc_id for r in langid.identify(documents, network).collect() if r.lang_pred != "und" and r.score >= P.LEAST_SCORE]
+    want = [r.doc_id for r in langid.identify(documents, network).collect() if r.lang_pred != "und" and r.score >= P.least_score(network)]
     assert ids("language") == sorted(want) and not {2000, 2001} & set(want)
     best = {}
     for r in kept["language"]:
         best[r.text] = max(best.get(r.text, -1), r.doc_id)
     assert ids("exact") == sorted(best.values())
-    prints = sorted((r.doc_id, simhash(r.text) % 2**64) for r in kept["exact"])
-    root = {i: i for i, _ in prints}
-    changed = True
-    while changed:
-        changed = False
-        for i, a in prints:
-            for j, b in prints:
-                if (a ^ b).bit_count() <= 2 and root[j] > root[i]:
-                    root[j], changed = root[i], True
-    assert ids("near") == sorted(set(root.values()))
+    assert ids("near") == least_of_near_copies([(r.doc_id, r.text) for r in kept["exact"]])
     size, taken = defaultdict(int), defaultdict(int)
     for r in kept["near"]:
         size[r.source] += len(r.text.split())
     for r in kept["mix"]:
         taken[r.source] += len(r.text.split())
-    target = mixing.targets(list(size.items()))
+    target = targets(list(size.items()))
     assert all(abs(taken[s] - t) <= 80 for s, t in target.items()) and set(ids("mix")) <= set(ids("near")) and max(Counter(ids("mix")).values()) <= 3
     code = wanted(None)
     assert sorted(map(tuple, kept["encode"])) == sorted((r.doc_id, *code(r.text)) for r in kept["mix"])
