@@ -33,9 +33,9 @@ from strandloom.session import ship
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes that a worker's remembered words may take, about (each takes ROW beside its characters and tokens); bytes of words and number of words that go to DuckDB at once; steps of one recursive query.
-KNOWN_BYTES, ROW, BATCH, DECODED, STEPS = 80_000_000, 250, 400_000, 100_000, 48
+KNOWN_BYTES, ROW, BATCH, DECODED, STEPS = 50_000_000, 250, 400_000, 100_000, 48
 #: Characters of a piece of a text, and of texts that are encoded at once; bytes of a slice of a batch.
-SLAB, BATCH_CHARS, SLICE = 1 << 20, 3_000_000, 8_000_000
+SLAB, BATCH_CHARS, SLICE = 1 << 20, 1_000_000, 4_000_000
 
 CHUNK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -133,7 +133,7 @@ class Coder:
         merges = pa.table({"lhs": pairs[:, 0], "rhs": pairs[:, 1], "rank": pairs[:, 2], "safe": least[pairs[:, 2]] > pairs[:, 2]})
         vocab = pa.table({"tok": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
         spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]  # where Spark spills too
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": f"{spill}/duckdb-{os.getpid()}" if spill else ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": f"{spill}/duckdb-{os.getpid()}" if spill else ""})
         self.size, self.old = 0, ({}, {})
         for name, rows in (("merges", merges), ("vocab", vocab)):
             self.db.register("given", rows)
