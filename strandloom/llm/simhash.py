@@ -110,14 +110,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return common.join_counted(rows, found, "fp", "n", rows.count()).select("doc_id", "fp", "same", F.col("least.doc_id").alias("component_id"), F.col("least.same").alias("keep_same"))
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unfolded: bool = False) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
     """docs with one row of each component: the one of smallest identifier. Rows that repeat its identifier and text are left out too; other columns are unchanged, whatever their names.
 
-    Components are those of `near_duplicates`, or with `unfolded` those of texts whose sets of five-word shingles have a
-    Jaccard similarity of 0.8 or more (see `nearcopies`), for which 64-bit fingerprints are too short. Nulls, empty and
-    very long texts and ties are treated as there; an empty table gives an empty result.
+    Components are those of `near_duplicates`, or with `sets` those of texts whose sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more, found by longer fingerprints, as 64 bits are too few for that (see `nearcopies`).
+    Nulls, empty and very long texts and ties are treated as there; an empty table gives an empty result.
     """
-    if unfolded:
+    if sets:
         from strandloom.llm import nearcopies
 
         return nearcopies.without_near_copies(docs, id_col, text_col)
