@@ -27,6 +27,15 @@ def stored(df: DataFrame, label: str, compression: str = "none") -> DataFrame:
     return tables.stored(df, label, compression)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let the executors collect their garbage, so that heap that nothing uses and buffers outside it go back to the system.
+
+    Their heaps grow up to the limit with what earlier steps left, beside the Python workers, and shrink only in a full collection.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These names, with underscores before them until df has no such column in any case."""
     taken = {c.lower() for c in df.columns}
