@@ -63,6 +63,12 @@ def negbinomial_ratio(k: Column, mean_a: Column, var_a: Column, mean_b: Column,
     return F.exp(log_negbinomial(k, mean_a, var_a) - log_negbinomial(k, mean_b, var_b))
 
 
+def significant(x: Column, digits: int) -> Column:
+    """A positive number rounded to as many digits, halves up; 0 and infinity stay as they are."""
+    scale = F.pow(F.lit(10.0), digits - F.ceil(F.log10(x)))
+    return F.when((x > 0) & (x < float("inf")), F.floor(x * scale + 0.5) / scale).otherwise(x)
+
+
 def log_geometric(k: Column, mean: Column) -> Column:
     """ln of (1 - p) ** (k - 1) * p with p = 1 / mean."""
     return (k - 1) * F.log(1 - 1 / mean) - F.log(mean)

@@ -98,3 +98,11 @@ def test_vectors(spark):
     a, b = F.array(*map(F.lit, (0.2, 0.8))), F.array(*map(F.lit, (0.5, 0.5)))
     row = one(spark, tv=M.v_distance(a, b, "TV"), kl=M.v_distance(a, b, "KL"), e=M.v_entropy(b), n=M.v_normalise(F.array(F.lit(1.0), F.lit(3.0))), l=M.log_sum_exp(F.array(F.lit(-1000.0), F.lit(-1000.0))))
     assert row.tv == pytest.approx(0.3) and row.kl == pytest.approx(0.2 * math.log(0.4) + 0.8 * math.log(1.6)) and row.e == pytest.approx(math.log(2)) and row.n == [0.25, 0.75] and row.l == pytest.approx(-1000 + math.log(2))
+
+
+def test_ratio_of_two_densities_is_compared_in_four_digits(spark):
+    near, x = 17.170731707317074, F.col("x")
+    rows = spark.createDataFrame([(1.00049,), (1.0006,), (0.99996,), (0.0,), (float("inf"),), (12345.6,)], "x double")
+    assert [r[0] for r in rows.select(M.significant(x, 4)).collect()] == pytest.approx([1.0, 1.001, 1.0, 0.0, float("inf"), 12350.0])
+    ratio = M.negbinomial_ratio(*(F.lit(float(v)) for v in (near, 12, 18, 24, 36)))
+    assert one(spark, whole=ratio > 1, single=M.significant(ratio, 4) > 1) == (True, False)
