@@ -85,3 +85,21 @@ def test_subgraphs_and_moves(spark):
     assert sorted(r.node for r in G.between(nodes, arcs, 1, 4, 11).collect()) == [1, 2, 4]
     moves = spark.createDataFrame([(1, 2), (2, 5), (7, 1)], "node_id int, to int")
     assert {r.node_id: r.now for r in G.present(moves, spark.createDataFrame([(1,), (3,), (7,)], "node_id int")).collect()} == {1: 5, 3: 3, 7: 5}
+
+
+@pytest.mark.parametrize("most", [0, 40, 1_000_000])
+def test_reach_of_paths_and_cycles(spark, monkeypatch, most):
+    monkeypatch.setattr(G, "ONE_TASK", most)
+    paths, cycles = [range(10, 61), range(100, 103)], [[7, 5, 9], [-71, -70]]
+    steps = [(b, a) for p in paths for a, b in zip(p, p[1:], strict=False)] + [(c[(i + 1) % len(c)], x) for c in cycles for i, x in enumerate(c)]
+    found = {r.node: (r.head, r.dist if r.head else None, r.least) for r in G.reach(spark.createDataFrame(steps, "node int, prev int")).collect()}
+    assert found == {x: (p[0], i, p[0]) for p in paths for i, x in enumerate(p)} | {x: (None, None, min(map(abs, c))) for c in cycles for x in c}
+
+
+def test_a_cycle_is_gone_round_without_overflow(spark, monkeypatch):
+    monkeypatch.setattr(G, "ONE_TASK", 0)
+    n = 70_000  # 17 rounds for the path and as many for the cycle after it
+    path, cycle = spark.range(1, n).selectExpr("cast(id + 1 AS int) AS node", "cast(id AS int) AS prev"), spark.range(n).selectExpr(f"cast({n} + 1 + (id + 1) % {n} AS int) AS node", f"cast({n} + 1 + id AS int) AS prev")
+    found = G.reach(path.union(cycle))
+    assert found.groupBy("head").agg({"least": "max", "*": "count"}).orderBy("head").collect() == [(None, n + 1, n), (1, 1, n)]
+    assert found.filter("head = 1").agg({"dist": "max"}).first()[0] == n - 1
