@@ -1,8 +1,11 @@
 """Small functions, packed windows and banded alignment against plain versions."""
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +88,25 @@ def test_estimates_and_networks(spark, tmp_path):
     (tmp_path / "list").write_text("1 2\n")
     with pytest.raises(ValueError, match="no such arc"):
         tables.read_arcs(spark, str(tmp_path / "list"), arcs.filter("cov > 9"))
+
+
+@pytest.mark.parametrize("k", [5, 13])
+def test_packed_counts_in_one_array_and_in_parts(spark, k):
+    draw = random.Random(k)
+    base = "".join(draw.choice("ACGT") for _ in range(400))
+    seqs = [base[i : i + 90] + draw.choice(["", "N", "ACGTACGTACGTACGT"]) + base[:i] for i in range(0, 300, 7)] + ["", None, "ACG"]
+    windows = [s[i : i + k] for s in seqs if s for i in range(len(s) - k + 1) if "N" not in s[i : i + k]]
+    want = Counter(min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for w in windows)
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string").repartition(3)
+    for least in (1, 4):
+        got = K.canonical_counts(reads, k, least).collect()
+        assert sorted((r.kmer, r.n) for r in got) == sorted((w, n) for w, n in want.items() if n >= least)
+
+
+def test_windows_of_many_reads_are_rolled_in_little_memory():
+    column = pa.array(["ACGTTGCATT" * 200] * 2000)
+    tracemalloc.start()
+    n = sum(int(K.rolled(bases, 11)[2].sum()) for bases, *_ in K.slabs(column, 11))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 * 1990 and peak < 40e6
